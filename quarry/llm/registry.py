@@ -80,10 +80,10 @@ f AS (SELECT source, source_size, CASE WHEN cap <= w * lv THEN cap
 d AS (SELECT s.doc_id, s.size, f.source_size, f.target,
       coalesce(floor(f.target / nullif(f.source_size, 0)), 0)::BIGINT AS full_,
       coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY o, s.size, s.doc_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  (full_ * size + greatest(0, least(size, floor(target - full_ * source_size)::BIGINT - at)))::BIGINT AS taken FROM d""",
+  (full_ * size + greatest(0, least(size, floor(target - full_ * source_size)::BIGINT - before)))::BIGINT AS taken FROM d""",
     "op6_line_dedup": """
 WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS pos FROM l WHERE len(ls) >= 3),

@@ -46,13 +46,27 @@ def rule_match(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null. A rule fits its host
     and all subdomains. Longest is by the length of host and path; the rule list is small
     and becomes one expression."""
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for name, prefix, verdict in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]))):
-        fits = ((host == name) | host.endswith("." + name)) & path.startswith(prefix)
-        found = F.when(
-            fits, F.struct(F.lit(name + prefix).alias("rule"), F.lit(verdict).alias("verdict"))
-        ).otherwise(found)
-    return found
+    longest_first = sorted(rules, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0])))
+    table = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(k) for k, v in zip(("host", "path", "verdict"), r, strict=True)])
+            for r in longest_first
+        ]
+    )
+
+    def best(url: Column) -> Column:
+        fits = F.filter(
+            table,
+            lambda r: ((url["h"] == r["host"]) | F.endswith(url["h"], F.concat(F.lit("."), r["host"])))
+            & F.startswith(url["p"], r["path"]),
+        )
+        return F.transform(
+            F.slice(fits, 1, 1),
+            lambda r: F.struct(F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")),
+        )
+
+    bound = F.array(F.struct(host.alias("h"), path.alias("p")))
+    return F.get(F.flatten(F.transform(bound, best)), F.lit(0))
 
 
 def normal_url(url: Column) -> Column:
@@ -88,26 +102,24 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     html = F.col(html_col).cast("string")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\s[^>]*>|<meta\s[^>]*>)"), 1)
     marked = html.rlike(r"(?i)canonical|http-equiv")  # most pages end here
-    found = (
-        pages.where(marked & F.col(url_col).isNotNull())
-        .select(F.col(url_col).cast("string").alias("_u"), F.explode(tags).alias("_tag"))
-        .select(
-            "_u",
-            F.when(
-                F.lower(_attribute(F.col("_tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"),
-                _attribute(F.col("_tag"), "href"),
-            )
-            .when(
-                F.lower(_attribute(F.col("_tag"), "http-equiv")) == "refresh",
-                F.regexp_extract(_attribute(F.col("_tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1),
-            )
-            .alias("_t"),
-        )
-        .where(F.length("_t") > 0)
+    def target(tag: Column) -> Column:
+        canonical = F.lower(_attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
+        refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
+        to = F.regexp_extract(_attribute(tag, "content"), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1)
+        return F.when(canonical, _attribute(tag, "href")).when(refresh, to)
+
+    named = F.filter(F.transform(tags, target), lambda t: F.length(t) > 0)
+    found = pages.where(marked & F.col(url_col).isNotNull()).select(
+        F.col(url_col).cast("string").alias("_u"), named.alias("_ts")
+    )
+    # Lambdas keep these long expressions out of one generated method.
+    ends = F.transform(
+        F.col("_ts"),
+        lambda t: F.struct(
+            normal_url(F.col("_u")).alias("a"), normal_url(_resolved(t, F.col("_u"))).alias("b")
+        ),
     )
-    return found.select(
-        normal_url(F.col("_u")).alias("a"), normal_url(_resolved(F.col("_t"), F.col("_u"))).alias("b")
-    ).where("a <> b")
+    return found.select(F.inline(ends)).where("a <> b")
 
 
 def url_verdicts(

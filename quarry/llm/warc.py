@@ -137,7 +137,7 @@ def write_warc(
                 continue
             if out is None:
                 store.create_dir(root, recursive=True)
-                out = store.open_output_stream(f"{root}/{name}")
+                out = store.open_output_stream(f"{root}/{name}", compression=None)
             offsets, lengths, kinds = [], [], []
             for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = gzip.compress(record_bytes(page, url, payload, digest, refers), 3, mtime=0)
