@@ -268,9 +268,13 @@ ORACLE_SQL = {
     "inverted_unstemmed_bm25_topk": _single_sql("plain", "bm25"),
     "inverted_unstemmed_tfidf_topk": _single_sql("plain", "tf-idf"),
     "inverted_unstemmed_batch_topk": _batch_sql("plain", "bm25", 10),
-    "overlap_at_100": f"""SELECT a.query_id, count(*) AS overlap
-FROM {_nested("plain", "bm25", _BENCH, 100)} a JOIN {_nested("plain", "tf-idf", _BENCH, 100)} b
-USING (query_id, doc_id) GROUP BY ALL""",
+    "overlap_at_100": f"""WITH {_TF},
+q AS (SELECT query_id, token AS term FROM ({_words(_BENCH, "query_id", "content")})),
+s AS (SELECT query_id, doc_id, sum({_FORMULA["bm25"]}) AS s1, sum({_FORMULA["tf-idf"]}) AS s2
+      FROM q JOIN df USING (term) JOIN tf USING (term) JOIN len USING (doc_id) CROSS JOIN st GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s1, 10) DESC, doc_id DESC) AS r1,
+      row_number() OVER (PARTITION BY query_id ORDER BY round(s2, 10) DESC, doc_id DESC) AS r2 FROM s)
+SELECT query_id, count(*) AS overlap FROM r WHERE r1 <= 100 AND r2 <= 100 GROUP BY ALL""",
     "score_diff": f"""SELECT count(*) AS matches, round(coalesce(sum(abs(a.score - b.score)), 0), {DIGITS}) AS sum_abs_diff
 FROM {_nested("plain", "bm25", _QUERY, 100)} a JOIN {_nested("plain", "tf-idf", _QUERY, 100)} b USING (doc_id)""",
     "known_item_rank": f"""SELECT e.query, coalesce(min(t.rank), -1)::INT AS rank, e.document

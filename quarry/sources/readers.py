@@ -59,7 +59,7 @@ def read_queries(spark: SparkSession, folder: str) -> DataFrame:
     """One query per line of every ``*.txt``: (query_id, file, line, content). Blank lines
     are empty queries; a carriage return stays; the last line break ends the last line.
     Files are read whole (query files are small), so that lines keep their numbers."""
-    files = spark.read.option("pathGlobFilter", "*.txt").option("wholetext", True).text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     named = files.select(F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1).alias("file"), "value")
     body = F.regexp_replace("value", r"\n\z", "")
     lines = named.where(F.length("value") > 0).select("file", F.posexplode(F.split(body, "\n", -1)))
@@ -109,7 +109,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 def read_search_dump(spark: SparkSession, path: str) -> DataFrame:
     """``hits.hits[]._source.column1`` of a saved search response, in order: (pos, column1).
     Triple-quoted strings are turned into JSON strings first."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parts = F.split("value", '"""', -1)
     rebuilt = F.array_join(
         F.transform(
