@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix_plan
+from quarry.llm.ngram_join import ngram_components
 from quarry.llm.packing import pack
+from quarry.llm.suffix_dedup import suffix_dedup
 from quarry.llm.url_filter import RULES, url_verdicts
 from quarry.llm.warc import read_warc, write_warc
 
@@ -28,6 +30,10 @@ def op4_mixing(spark, d):
     return ordered.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op5_ngram_jaccard(spark, d):
+    return ngram_components(table(spark, d, "documents"))
+
+
 def op6_line_dedup(spark, d):
     out = line_dedup(table(spark, d, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -47,13 +53,19 @@ def op9_warc(spark, d):
     return read_warc(index, with_payload=False).drop("payload", "url")
 
 
+def op10_suffix_dedup(spark, d):
+    return suffix_dedup(table(spark, d, "documents"), with_text=False).drop("kept_text")
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
