@@ -8,23 +8,25 @@ of documents are taken in descending length; each goes to the sequence of lowest
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import textkernel as K
+
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Tokens gathered before a block is packed.
 BLOCK_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 2048.0
-#: Distinct white-space separated strings whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Distinct pieces of text whose ids a worker remembers; beyond that it starts anew.
+CACHE_PIECES = 1 << 20
 TOKENIZER_FILE = "word_bpe_49k.json"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -37,52 +39,149 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCT = np.zeros(256, bool)
+for _a, _b in ((33, 48), (58, 65), (91, 97), (123, 127)):
+    _PUNCT[_a:_b] = True
+_PUNCT[39] = False  # an apostrophe may belong to the letters behind it
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: The split pattern of the vocabulary file, a fixed value.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+
+
 class WordTokenizer:
-    """Ids of whole texts. The vocabulary drops white space and never merges across it,
-    so a text's ids are those of its white-space separated strings; each distinct string
-    is encoded once."""
+    """Ids of whole texts, each distinct piece of text being encoded once.
+
+    The vocabulary drops white space and splits between letters and punctuation before it
+    merges, so a text may be cut at white space and where an ASCII or Latin-1 letter meets
+    ASCII punctuation, but for the apostrophe. Pieces are known by a 64-bit hash of their
+    bytes with A-Z in lower case, in an open-addressing table that numpy probes for a whole
+    step of texts at once. A text that holds a special token's string is encoded whole.
+    """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.most = most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = [0]
-
-    def _learn(self, words: list[str]) -> None:
-        used = self.ends[-1]
-        for word, coded in zip(words, self.model.encode_batch(words, add_special_tokens=False), strict=True):
-            new = coded.ids
-            if used + len(new) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(new)), np.uint32)])
-            self.ids[used : used + len(new)] = new
-            used += len(new)
-            self.known[word] = len(self.ends) - 1
-            self.ends.append(used)
+        self.split = regex.compile(_PATTERN)
+        self.unusual = regex.compile("[\x85\xa0\u0250-\U0010ffff]").search
+        self.letters = _byte_letters()
+        self.merge = self.model.model.tokenize
+        self._reset(most)
+
+    def _reset(self, most: int) -> None:
+        self.most, self.mask = most, (1 << (2 * most - 1).bit_length()) - 1
+        self.keys = np.zeros(self.mask + 1, np.uint64)
+        self.slots = np.zeros(self.mask + 1, np.int32)
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ends = np.zeros(most + 1, np.int64)
+        self.count = 0
+
+    def piece_ids(self, piece: str) -> list[int]:
+        """Ids of one piece; what is not plainly Latin goes to the library."""
+        if not piece.isascii():
+            if self.unusual(piece):
+                return self.model.encode(piece, add_special_tokens=False).ids
+            piece = unicodedata.normalize("NFC", piece)
+        piece = piece.lower()
+        parts = [piece] if piece.isalpha() else self.split.findall(piece)
+        return [
+            t.id for x in parts for t in self.merge(x.encode().decode("latin-1").translate(self.letters))
+        ]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 if unknown."""
+        out = np.full(len(h), -1, np.int64)
+        at = h & np.uint64(self.mask)
+        left = np.arange(len(h))
+        while len(left):
+            there = self.keys[at[left]]
+            hit = there == h[left]
+            out[left[hit]] = self.slots[at[left[hit]]]
+            left = left[~hit & (there != 0)]
+            at[left] = (at[left] + np.uint64(1)) & np.uint64(self.mask)
+        return out
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        flat: list[int] = []
+        ends = []
+        for piece in pieces:
+            flat += self.piece_ids(piece)
+            ends.append(len(flat))
+        used = int(self.ends[self.count])
+        if used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
+        self.ids[used : used + len(flat)] = flat
+        self.ends[self.count + 1 : self.count + 1 + len(h)] = np.array(ends, np.int64) + used
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):  # claim free slots; of several claims to one the first succeeds
+            slot, first = np.unique(at[left], return_index=True)
+            free = self.keys[slot] == 0
+            won = left[first[free]]
+            self.keys[at[won]] = h[won]
+            self.slots[at[won]] = self.count + won
+            left = left[self.keys[at[left]] != h[left]]
+            at[left] = (at[left] + 1) & self.mask
+        self.count += len(h)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets)."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        flat, per_text = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > self.most:
-            self._reset()
-        unknown = [w for w in words if w not in self.known]
-        for i in range(0, len(unknown), 10_000):
-            self._learn(unknown[i : i + 10_000])
-        entry = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        ends = np.asarray(self.ends)
-        entry = entry[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else entry
-        first, count = ends[entry], ends[entry + 1] - ends[entry]
+        data, offsets = K.bytes_of(texts)
+        raw = data.tobytes()
+        if any(x.encode() in raw for x in SPECIAL):
+            whole = [e.ids for e in self.model.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            lengths = np.array([0, *map(len, whole)])
+            return np.array([i for x in whole for i in x], np.uint32), np.cumsum(lengths)
+        start, end = pieces_of(data, offsets)
+        h = K.span_hash(K.prefix_hash(K.ascii_lower(data)), start, end) | np.uint64(1)
+        entry = self._find(h)
+        unknown = np.flatnonzero(entry < 0)
+        if len(unknown):
+            fresh, first = np.unique(h[unknown], return_index=True)
+            if self.count + len(fresh) > self.most:
+                unknown = np.arange(len(h))
+                fresh, first = np.unique(h, return_index=True)
+                self._reset(max(self.most, len(fresh)))
+            where = unknown[first]
+            self._learn(fresh, [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            entry[unknown] = self._find(h[unknown])
+        begin, count = self.ends[entry], self.ends[entry + 1] - self.ends[entry]
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
-        return ids, total[np.concatenate([[0], np.cumsum(per_text)])]
+        ids = self.ids[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        return ids, total[np.searchsorted(start, offsets)]
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[start, end) of the pieces that can be encoded by themselves."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = ~_SPACE[data]
+    letter, punct = _LETTER[data], _PUNCT[data]
+    # C3 80 to C3 BF are letters, but for the signs of multiplication and division
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    letter[lead] = letter[lead + 1] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | (letter[1:] & punct[:-1]) | (punct[1:] & letter[:-1])
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begins[heads] = inside[heads]
+    ends = np.zeros(n + 1, bool)
+    ends[1:n] = inside[:-1] & (~inside[1:] | begins[1:])
+    ends[n] = inside[-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
 def pack_block(lengths: np.ndarray, capacity: int = SEQUENCE_TOKENS) -> list[tuple[int, int, int, int, int]]:
@@ -169,13 +268,7 @@ def pack(
             return out
 
         for batch in batches:
-            # slices bound what one step holds, however long the texts are
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 22)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
+            for part in K.steps(batch, 1):
                 ids, offsets = tokenizer.encode(part.column(1))
                 lengths = np.diff(offsets)
                 own = np.insert(ids, offsets[1:], end_id).astype(np.uint32)

@@ -91,6 +91,12 @@ def steps(batch: pa.RecordBatch, text_at: int, size: int = STEP_BYTES) -> Iterat
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+
+
+def ascii_lower(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Bytes of words in the looser sense: ASCII letters and digits, and all of non-ASCII characters.
