@@ -12,6 +12,7 @@ from quarry.llm.mixing import mix_plan
 from quarry.llm.ngram_join import ngram_components
 from quarry.llm.packing import pack
 from quarry.llm.suffix_dedup import suffix_dedup
+from quarry.llm.toxicity import toxicity
 from quarry.llm.url_filter import RULES, url_verdicts
 from quarry.llm.warc import read_warc, write_warc
 
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, d):
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op3_exact_dedup(spark, d):
     return exact_dedup(table(spark, d, "documents"))
 
@@ -58,6 +63,7 @@ def op10_suffix_dedup(spark, d):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,

@@ -105,22 +105,26 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _ALNUM[_a:_b] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word with A-Z lower-cased, number of its text). Words are runs of
-    bytes that are not white space, or with ``loose`` runs of letters and digits."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """[start, end) of the words of all texts. Words are runs of bytes that are not white
+    space, or with ``loose`` runs of letters and digits."""
     n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = _ALNUM[data] if loose else ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][np.diff(offsets) > 0]
     begins[heads] = inside[heads]
-    start = np.flatnonzero(begins)
     # A word ends where the next byte is outside or belongs to another text.
     ends = np.zeros(n + 1, bool)
     ends[1:n] = inside[:-1] & (~inside[1:] | begins[1:])
-    if n:
-        ends[n] = inside[-1]
-    end = np.flatnonzero(ends)
-    h = prefix_hash(_LOWER[data])
-    hashes = span_hash(h, start, end)
+    ends[n] = inside[-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word with A-Z lower-cased, number of its text)."""
+    start, end = word_spans(data, offsets)
+    hashes = span_hash(prefix_hash(_LOWER[data]), start, end)
     return hashes, np.searchsorted(offsets, start, side="right") - 1
