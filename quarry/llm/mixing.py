@@ -50,8 +50,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
         (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(below), F.lit(0.0)))
         / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(below), F.lit(0.0))),
     ).withColumn("_full", F.col("_cap") <= F.col("_w") * F.col("_level"))
-    # Once a source is not full none after it is; the first such level holds for all.
-    level = F.min(F.when(~F.col("_full"), F.col("_level"))).over(everything)
+    # Once a source is not full none after it is, and later levels only fall: the first
+    # such level, the largest, holds for all.
+    level = F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything)
     return levelled.select(
         "source",
         "source_size",

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.ann import ann_search
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix_plan
@@ -25,6 +26,11 @@ def op1_toxicity(spark, d):
     return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op2_ann(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return ann_search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_exact_dedup(spark, d):
     return exact_dedup(table(spark, d, "documents"))
 
@@ -64,6 +70,7 @@ def op10_suffix_dedup(spark, d):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_ann": op2_ann,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -94,7 +101,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][place + 1]::DOUBLE AS w, source_size * 3.0::DOUB
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv
       FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT source, source_size, CASE WHEN cap <= w * lv THEN cap
-      ELSE w * min(CASE WHEN cap > w * lv THEN lv END) OVER () END AS target FROM l),
+      ELSE w * max(CASE WHEN cap > w * lv THEN lv END) OVER () END AS target FROM l),
 d AS (SELECT s.doc_id, s.size, f.source_size, f.target,
       coalesce(floor(f.target / nullif(f.source_size, 0)), 0)::BIGINT AS full_,
       coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY o, s.size, s.doc_id
