@@ -22,8 +22,9 @@ MAX_PASSES = 3
 #: weight * (1 + slope * (2 t - 1)). The integral over [0, 1] is the weight itself.
 SLOPES = (-0.5, 0.0, 0.5)
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents in one block of the two-level running sum.
-BLOCK_ROWS = 20_000
+#: Least number of documents in one block of the two-level running sum; blocks grow with
+#: the square root of the largest source, so that neither level gets too long.
+BLOCK_ROWS = 2_000
 
 
 def n_words(text: Column) -> Column:
@@ -65,7 +66,7 @@ def _time(share: Column, place: Column, slopes) -> Column:
     """Invert the integral of 1 + s (2 t - 1), which is (1 - s) t + s t^2, at ``share``."""
     s = F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), place + 1)
     root = F.sqrt((1 - s) * (1 - s) + 4 * s * share)
-    return F.when(F.abs(s) < 1e-9, share).otherwise((root - (1 - s)) / (2 * s))
+    return F.when(F.abs(s) < 1e-9, share).otherwise(F.abs(root - (1 - s)) / F.abs(2 * s))
 
 
 def mix_plan(
@@ -106,7 +107,8 @@ def mix_plan(
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(by_source.drop("_rows"), weights, max_passes)
     most = by_source.agg(F.max("_rows").alias("m")).first()["m"] or 0
-    digits = max(1, min(8, math.ceil(math.log(max(most / block_rows, 1.0), 16)))) if most > block_rows else 0
+    blocks = most / max(block_rows, math.sqrt(most))
+    digits = min(8, math.ceil(math.log(blocks, 16))) if blocks > 1 else 0
     blocked = sized.withColumn("_block", F.substring("_ord", 1, digits) if digits else F.lit(""))
     block_sums = blocked.groupBy("source", "_block").agg(F.sum("size").alias("_bsize"))
     before_block = (

@@ -109,6 +109,19 @@ d AS (SELECT s.doc_id, s.size, f.source_size, f.target,
       FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   (full_ * size + greatest(0, least(size, floor(target - full_ * source_size)::BIGINT - before)))::BIGINT AS taken FROM d""",
+    "op5_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n l ON l.doc_id = x JOIN n r ON r.doc_id = y WHERE 100 * c >= 75 * (l.n + r.n - c)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, u.y FROM reach JOIN u ON u.x = reach.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.y) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY ALL""",
     "op6_line_dedup": """
 WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS pos FROM l WHERE len(ls) >= 3),
@@ -130,6 +143,21 @@ r(rh, rp, v, k) AS (VALUES {_RULES}),
 m AS (SELECT h.page_id, h.host, h.path, arg_max(rh || rp, k) AS rule, arg_max(v, k) AS v
       FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m""",
+    "op10_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS k, md5(substr(h, 2 * i + 1, 400)) AS m
+      FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 199)) AS i FROM t WHERE len(h) >= 400)),
+r AS (SELECT k, m FROM w GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN r USING (k, m)),
+g AS (SELECT doc_id, i, count(CASE WHEN p IS NULL OR i > p + 200 THEN 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM c),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, n),
+y AS (SELECT x.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS gap, h
+      FROM x JOIN t USING (doc_id) WINDOW o AS (PARTITION BY x.doc_id ORDER BY a)),
+z AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+      string_agg(gap, '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM y GROUP BY doc_id)
+SELECT t.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN z USING (doc_id)""",
     "op9_warc": """
 WITH t AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
 g AS (SELECT *, strlen(x) AS n, min(page_id) OVER (PARTITION BY x) AS first FROM t)
