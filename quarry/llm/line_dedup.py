@@ -86,18 +86,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     covered = written(
         later.groupBy("_id").agg(F.sort_array(F.collect_set("pos")).alias("_starts")), "line-covered"
     )
-    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("r"))  # the input's names clash with none here
+    text = F.col("r")[text_col].cast("string")
     cut = _with(_lines(text), lambda ls: F.struct(F.size(ls).alias("n"), _kept(ls, F.col("_starts")).alias("k")))
-    joined = docs.join(covered, docs[id_col] == covered["_id"], "left").withColumn(
+    joined = rows.join(covered, F.col("r")[id_col] == F.col("_id"), "left").withColumn(
         "_cut", F.when(F.col("_starts").isNotNull(), cut)
     )
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(
         F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
     )
-    out = joined.select(
-        *[joined[c] for c in docs.columns if c not in (text_col, "n_lines", "n_removed")],
-        F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(F.col("_cut.k"), "\n")).alias(text_col),
+    left = F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(F.col("_cut.k"), "\n"))
+    return joined.select(
+        *[
+            (left if c == text_col else F.col("r")[c]).alias(c)
+            for c in docs.columns
+            if c not in ("n_lines", "n_removed")
+        ],
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.col("_cut.n") - F.size("_cut.k"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return out

@@ -170,17 +170,19 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
         .agg(F.min(facts).alias("_p"))  # rows that repeat an id follow the first of them
         .select("doc_id", "_p.*")
     )
-    joined = docs.join(rows.withColumnRenamed("doc_id", "_id"), docs[id_col] == F.col("_id"))
+    whole = docs.select(F.struct(*docs.columns).alias("r"))  # the input's names clash with none here
+    joined = whole.join(rows, F.col("r")[id_col] == F.col("doc_id"))
     copies = F.sequence(F.lit(0), (F.col("full") + (F.col("part") > 0).cast("long") - 1).cast("int"))
-    several = joined.withColumn("_copy", F.explode(copies))
-    share = F.least((F.col("_copy") * F.col("source_size") + F.col("at")) / F.col("target"), F.lit(1.0))
-    first_words = F.regexp_extract(F.col(text_col), r"^([\x20\x09-\x0D]*)", 1)
-    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), 1)
-    cut = F.concat(first_words, F.array_join(F.slice(words, 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), ""))
-    partial = (F.col("_copy") == F.col("full")) & (F.col("part") < F.col("size"))
-    text = F.when(partial, cut).otherwise(F.col(text_col)).alias(text_col)
+    several = joined.withColumn("copy", F.explode(copies))
+    share = F.least((F.col("copy") * F.col("source_size") + F.col("at")) / F.col("target"), F.lit(1.0))
+    text = F.col("r")[text_col]
+    lead = F.regexp_extract(text, r"^([\x20\x09-\x0D]*)", 1)
+    words = F.regexp_extract_all(text, F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), 1)
+    cut = F.concat(lead, F.array_join(F.slice(words, 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), ""))
+    in_part = (F.col("copy") == F.col("full")) & (F.col("part") < F.col("size"))
+    kept = F.when(in_part, cut).otherwise(text)
     out = several.select(
-        *[text if c == text_col else several[c] for c in docs.columns if c != "position"],
+        *[(kept if c == text_col else F.col("r")[c]).alias(c) for c in docs.columns if c != "position"],
         _time(share, F.col("place"), slopes).alias("position"),
     )
     return out.repartitionByRange("position").sortWithinPartitions("position", id_col)

@@ -174,7 +174,9 @@ class Model:
         if self.index is None:
             return scores, ids, near_cos
         doc, term, tf, words = self.vocabulary.counts(texts)
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        if not len(doc):
+            return scores, ids, near_cos
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
             d = int(doc[a])
             share, near, cos = self.vote(term[a:b], tf[a:b], int(words[d]))
@@ -396,4 +398,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The input's rows with a score under 0.5, all columns as they were."""
     scored = scorer(docs, fit(docs, labels, id_col, text_col, **how))(F.col(text_col).cast("string"))
-    return docs.withColumn("_toxicity", scored["score"]).where("_toxicity < 0.5").drop("_toxicity")
+    return docs.where(scored["score"] < 0.5)
