@@ -34,7 +34,7 @@ from quarry.llm.shared import written
 WORDS = 5
 PERCENT = 75
 #: Text and sets whose subsets are sorted and shuffled together.
-EMIT_BYTES, EMIT_SETS = 8 << 20, 1 << 14
+EMIT_BYTES, EMIT_SETS = 1 << 20, 1 << 14
 _U = np.uint64
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
