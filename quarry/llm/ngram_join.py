@@ -380,7 +380,7 @@ def ngram_components(
         p = pivots.select("g", *[F.col(c).alias(f"p_{c}") for c in ("c1", "node", "n", "comp")])
         pairs = (
             state.join(p, "g")
-            .where("node > p_node AND comp <> p_comp")
+            .where("struct(node, c1) > struct(p_node, p_c1) AND comp <> p_comp")
             .where(f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
             .select(
                 F.col("p_node").alias("a"), F.col("p_c1").alias("ca"), F.col("node").alias("b"), F.col("c1").alias("cb")
@@ -406,8 +406,8 @@ def ngram_components(
                 F.col("node").alias("a"), F.col("component").alias("b")
             ).unionByName(new)
             found = written(components(links), "ngram-components")
-        last = pivots.groupBy("g").agg(F.max("node").alias("_last"))
-        state = state.drop("comp").join(last, "g").where("node > _last").drop("_last")
+        last = pivots.groupBy("g").agg(F.max(F.struct("node", "c1")).alias("_last"))
+        state = state.drop("comp").join(last, "g").where("struct(node, c1) > _last").drop("_last")
         if found is not None:
             state = state.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         else:

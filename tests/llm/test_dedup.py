@@ -123,6 +123,15 @@ def test_components_edges(make):
     assert len(got) == 5
 
 
+def test_one_id_with_several_texts(make):
+    r = random.Random(9)
+    a, b = ([f"{x}{r.random()}" for _ in range(60)] for x in "ab")
+    near = lambda t, k: " ".join(["new", *t[1:-1], str(k)])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 2)), (3, near(b, 3)), (4, near(b, 4))]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_components(make(rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
 def test_every_link_has_a_common_signature():
     import numpy as np
 
