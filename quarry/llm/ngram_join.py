@@ -5,16 +5,20 @@ A candidate search by the pigeonhole principle over a partitioned universe:
 * Sets are sorted into size bands of ratio 4/3, so linked sets lie in one band or in
   neighbours; a set takes part in its own band and in the next.
 * A band hashes the universe into m segments. Sets that differ in at most H elements
-  agree on all but H of their m segment subsets. Ordered by one global order, larger
-  subsets first, the first H + 1 subsets of either set then include a common one.
+  agree on all but H of their m segment subsets. Under one global order of subsets, the
+  first H + 1 subsets of either set then include a common one. The order spends this
+  budget where it costs least: subsets with most elements that are not frequent come
+  first. Which elements are frequent is counted over all documents, and only the cost
+  depends on it.
 * Small bands are allotted one segment with its one-deletion neighbourhoods instead: sets
   that differ by one element share the set, or one of them less one element. ``allotment``
   chooses by the rows each way costs.
 
 Subsets that several sets have in common form groups. In each round a few pivots of every
 group are compared with the members that are not yet in their component, so a group of
-near copies costs a comparison for each member and not one for each pair; the round's
-links are verified on whole sets, components are updated, and rounds go on until each
+near copies costs a comparison for each member and not one for each pair. Parity sketches,
+whose differing bits are at most the sets' differing elements, rule out most pairs; the
+others are verified on whole sets. Components are updated, and rounds go on until each
 group's pairs are linked through a component or compared. No link is lost.
 """
 
@@ -82,24 +86,91 @@ def set_marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return K.mix(sums(K.mix(flat)) + n), K.mix(sums(K.mix(flat ^ _ODD[7])) + n * _ODD[3])
 
 
-SETS = "doc_id long, n long, c1 long, c2 long"
+#: Shingles that this many sets of a block share are counted as perhaps frequent.
+FREQUENT_IN_BLOCK, BLOCK_SHINGLES = 8, 2_000_000
+#: The most frequent of these are told apart in ordering subsets; the others only cost more.
+FREQUENT = 1 << 17
+SETS = "kind int, doc_id long, n long, c1 long, c2 long, sketch binary"
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's elements in about twice as many classes as it has elements."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    at = (K.mix(s ^ _ODD[16]) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the sets' differing elements; the longer sketch is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        half = len(a) // 2
+        a = a[:half] ^ a[half:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _meta(n: int):
+    """Rows of kind 0 tell each document's set, of kind 1 shingles that are perhaps frequent."""
+
+    def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        flat = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        count = np.diff(np.append(at, len(flat)))
+        many = count >= FREQUENT_IN_BLOCK
+        k = int(many.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[many]),
+             pa.array(flat[at[many]].view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
+            names=["kind", "doc_id", "n", "c1", "c2", "sketch"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        total = 0
         for whole in batches:
             for batch in K.steps(whole, 1):
                 sets = shingle_sets(batch.column(1), n)
                 c1, c2 = set_marks(sets)
-                size = pa.array([len(s) for s in sets], pa.int64())
+                size = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), size, pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))],
-                    names=["doc_id", "n", "c1", "c2"],
-                )
+                    [pa.array(np.zeros(len(sets), np.int32)), batch.column(0), pa.array(size),
+                     pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
+                     pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["kind", "doc_id", "n", "c1", "c2", "sketch"],
+                )
+                for mark, s in zip(c1.tolist(), sets, strict=True):
+                    if mark not in seen and len(s):
+                        seen.add(mark)
+                        held.append(s)
+                        total += len(s)
+                if total >= BLOCK_SHINGLES:
+                    yield from frequent(held)
+                    held, seen, total = [], set(), 0
+        if held:
+            yield from frequent(held)
 
     return run
 
 
+class Frequent:
+    """Membership among the frequent shingles."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.may = np.zeros(1 << 22, bool)
+        self.may[(self.hashes >> _U(42)).astype(np.int64)] = True
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = self.may[(x >> _U(42)).astype(np.int64)]
+        if len(self.hashes):
+            at = np.flatnonzero(out)
+            place = np.minimum(np.searchsorted(self.hashes, x[at]), len(self.hashes) - 1)
+            out[at] = self.hashes[place] == x[at]
+        return out
+
+
 class Bands:
     """Size bands and each band's allotment for links at ``percent`` / 100 Jaccard."""
 
@@ -132,7 +203,9 @@ class Bands:
         return max(worst + 1, high // 2), False
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def signatures(
+    sets: list[np.ndarray], bands: Bands, frequent: Frequent | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of its set) of all sets in their own band and the next."""
     size = np.array([len(s) for s in sets], np.int64)
     own = bands.of(np.maximum(size, 1))
@@ -161,13 +234,15 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         where = base[doc] + (K.mix(flat + tag[doc]) % m[doc].astype(_U)).astype(np.int64)
         token = K.mix(flat ^ _ODD[12])
         cells = int(m.sum())
-        count = np.bincount(where, minlength=cells)
+        rare = where if frequent is None else where[~frequent(flat)]
+        count = np.bincount(rare, minlength=cells)
         low = np.bincount(where, (token & _U(0xFFFFFFFF)).astype(np.float64), cells).astype(_U)
         top = np.bincount(where, (token >> _U(32)).astype(np.float64), cells).astype(_U)
         owner = np.repeat(np.arange(len(at)), m)
         segment = (np.arange(cells) - base[owner]).astype(_U)
         sig = K.mix(K.mix(low + tag[owner]) + K.mix(top ^ _ODD[13]) + segment * _ODD[14])
-        # One global order of subsets: larger first, then by hash. Empty ones come last.
+        # One global order of subsets: by elements that are not frequent, most first, then by
+        # hash. Empty ones and those of frequent elements only come last.
         key = (owner.astype(_U) << _U(49)) | ((_U(255) - np.minimum(count, 255).astype(_U)) << _U(41)) | (sig >> _U(23))
         order = np.argsort(key)
         place = np.arange(cells) - base[owner[order]]
@@ -182,7 +257,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 BLOBS = "bucket int, kind int, high binary, low binary, owner binary, nodes binary"
 
 
-def _emit(n: int, percent: int, buckets: int):
+def _emit(n: int, percent: int, buckets: int, frequent):
     """Signatures, packed by bucket. A signature that several sets of one emission share
     leaves one row for its bucket; the others' membership travels apart, so a subset that
     very many documents share sends one row from each emission."""
@@ -199,7 +274,7 @@ def _emit(n: int, percent: int, buckets: int):
                     c1, _ = set_marks(sets)
                     _, only = np.unique(c1, return_index=True)
                     sets, c1 = [sets[k] for k in only], c1[only]
-                    sig, owner = signatures(sets, bands)
+                    sig, owner = signatures(sets, bands, frequent.value)
                     bucket = ((sig >> _U(48)) * _U(buckets)) >> _U(16)
                     sig = (bucket << _U(48)) | (sig & _U(0xFFFFFFFFFFFF))
                     order = np.argsort(sig)
@@ -308,6 +383,26 @@ def _blobs(n: int):
     return run
 
 
+def _sieve(percent: int):
+    """Pairs (a, ca, b, cb, n of either, sketch of either) that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            most = bands.differ(batch.column(4).to_numpy() + batch.column(5).to_numpy())
+            view = lambda x: np.frombuffer(x.as_buffer(), np.uint8)
+            ok = [
+                sketch_difference(view(x), view(y)) <= m
+                for x, y, m in zip(batch.column(6), batch.column(7), most.tolist(), strict=True)
+            ]
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k).filter(mask) for k in range(4)], names=["a", "ca", "b", "cb"]
+            )
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,28 +436,23 @@ def ngram_components(
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(base.mapInArrow(_meta(n), SETS), "ngram-sets")
+    rows = written(base.mapInArrow(_meta(n), SETS), "ngram-sets")
+    sets = rows.where("kind = 0").drop("kind")
     reps = written(
-        sets.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")),
+        sets.where("n > 0")
+        .groupBy("c1", "c2")
+        .agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sketch").alias("sketch")),
         "ngram-reps",
     )
+    top = rows.where("kind = 1").groupBy("c1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c1").limit(FREQUENT)
+    hashes = top.select("c1").toArrow().column("c1").to_numpy().astype(np.int64).view(_U)
+    frequent = spark.sparkContext.broadcast(Frequent(hashes))  # bounded by FREQUENT
     buckets = max(1, min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    blobs = base.select("text").mapInArrow(_emit(n, percent, buckets), BLOBS)
+    blobs = base.select("text").mapInArrow(_emit(n, percent, buckets, frequent), BLOBS)
     groups = written(blobs.repartition(buckets, "bucket").mapInArrow(_group, "g long, c1 long"), "ngram-groups")
     members = written(
         groups.distinct().join(reps.where("node IS NOT NULL").select("c1", "node", "n"), "c1"), "ngram-members"
     )
-    wanted = members.select(F.col("node").alias("_id"), F.col("c1").alias("_c")).distinct()
-    ids = wanted.select("_id").distinct()
-    chosen = base.join(ids, base["doc_id"] == ids["_id"], "left_semi").mapInArrow(
-        _blobs(n), "doc_id long, c1 long, blob binary"
-    )
-    texts = written(
-        chosen.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("c1") == F.col("_c")), "left_semi")
-        .groupBy("doc_id", "c1")
-        .agg(F.first("blob").alias("blob")),
-        "ngram-texts",
-    )
     links, known, state, pivots_each = None, None, members.withColumn("comp", F.col("node")), 1
     found = None
     while True:
@@ -391,15 +481,16 @@ def ngram_components(
             pairs = pairs.join(known, ["a", "ca", "b", "cb"], "left_anti")
         pairs = written(pairs, "ngram-pairs")
         known = pairs if known is None else known.unionByName(pairs)
-        left = texts.select(F.col("doc_id").alias("a"), F.col("c1").alias("ca"), F.col("blob").alias("x"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("c1").alias("cb"), F.col("blob").alias("y"))
-        new = written(
-            pairs.join(left, ["a", "ca"])
-            .join(right, ["b", "cb"])
-            .select("a", "b", "x", "y")
-            .mapInArrow(_verify(percent), "a long, b long"),
-            "ngram-links",
+        marks = reps.select("node", "c1", "n", "sketch")
+        of = lambda x, c: marks.select(F.col("node").alias(x), F.col("c1").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        likely = written(
+            pairs.join(of("a", "ca"), ["a", "ca"])
+            .join(of("b", "cb"), ["b", "cb"])
+            .select("a", "ca", "b", "cb", "n_a", "n_b", "s_a", "s_b")
+            .mapInArrow(_sieve(percent), "a long, ca long, b long, cb long"),
+            "ngram-likely",
         )
+        new = written(_links(base, likely, n, percent), "ngram-links")
         if not new.isEmpty():
             # what is known of components, and the new links between them
             links = new if found is None else found.select(
@@ -413,7 +504,7 @@ def ngram_components(
         else:
             state = state.withColumn("comp", F.col("node"))
         state = state.select("g", "c1", "node", "n", "comp")
-        pivots_each *= 8
+        pivots_each *= 16
     owner = reps
     if found is not None:
         owner = written(
@@ -429,6 +520,33 @@ def ngram_components(
     )
 
 
+def _links(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs that link, by the whole sets of their texts."""
+    ends = written(
+        pairs.select(F.col("a").alias("_id"), F.col("ca").alias("_c"))
+        .unionByName(pairs.select(F.col("b").alias("_id"), F.col("cb").alias("_c")))
+        .distinct(),
+        "ngram-ends",
+    )
+    ids = ends.select("_id").distinct()
+    texts = written(
+        base.join(ids, base["doc_id"] == ids["_id"], "left_semi")
+        .mapInArrow(_blobs(n), "doc_id long, c1 long, blob binary")
+        .join(ends, (F.col("doc_id") == F.col("_id")) & (F.col("c1") == F.col("_c")), "left_semi")
+        .groupBy("doc_id", "c1")
+        .agg(F.first("blob").alias("blob")),
+        "ngram-texts",
+    )
+    left = texts.select(F.col("doc_id").alias("a"), F.col("c1").alias("ca"), F.col("blob").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("c1").alias("cb"), F.col("blob").alias("y"))
+    return (
+        pairs.join(left, ["a", "ca"])
+        .join(right, ["b", "cb"])
+        .select("a", "b", "x", "y")
+        .mapInArrow(_verify(percent), "a long, b long")
+    )
+
+
 def _window():
     from pyspark.sql import Window
 
