@@ -1,7 +1,7 @@
 """Connected components over an edge table, by joins and aggregates alone.
 
 Alternating large-star and small-star rounds (Kiveris et al., 2014): every round hangs
-nodes onto smaller neighbours, and the edge set becomes a set of stars after a number of
+nodes onto smaller neighbours, until the edge set is a set of stars, after a number of
 rounds that grows with the logarithm of the size. A hub of any size is safe: neighbour
 minima are partial aggregates, and each round's tables are written to the shared folder.
 """
@@ -37,6 +37,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(kept).where("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Does every node hang on at most one other, and nothing hang on a node that hangs?"""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    held = roles.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return held.where("down > 1 OR (down > 0 AND up > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges(a, b)``; the component is its smallest
     node. Loops and repeated edges do no harm; rows with a null end are left out."""
@@ -44,14 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "cc-edges",
     )
-    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    before = None
-    while True:
+    while not _are_stars(now):
         now = written(_small_star(_large_star(now)), "cc-edges")
-        state = tuple(now.agg(F.count("*"), mark).first())
-        if state == before:
-            break
-        before = state
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)
