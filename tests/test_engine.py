@@ -200,3 +200,42 @@ def test_stream(spark, docs, tmp_path):
     run = rank_stream(build_index(docs), stream, str(tmp_path / "out"), str(tmp_path / "ck"), k=1)
     run.awaitTermination(120)
     assert spark.read.text(str(tmp_path / "out")).count() == 2
+
+
+def test_benchmark_texts_are_queried_whole(spark, docs, tmp_path):
+    from quarry.plans.registry import QUERIES as registered
+
+    lead = "nothing of this beginning stands in any of the documents there, "
+    items = [(5, lead + "dogs eating fresh salmon"), (9, lead + "a cat, a CAT"), (17, lead + "abc"), (40, "salmon")]
+    assert len(lead) > 60
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: registered[name](spark, str(tmp_path)).collect()
+
+    def plain(query, value):
+        toks = {d: A.query_tokens(t, False) for d, t in DOCS}
+        n = max(toks) + 1
+        avg = sum(map(len, toks.values())) / n
+        df = Counter(t for x in toks.values() for t in set(x))
+        scores = defaultdict(float)
+        for term in A.query_tokens(query, False):
+            for d, x in toks.items():
+                if term in x:
+                    scores[d] += value(x.count(term), df[term], n, len(x), avg)
+        return sorted(((d, round(s, 6)) for d, s in scores.items()), key=lambda p: (-p[1], -p[0]))[:10]
+
+    six = lambda found: [(d, round(s, 6)) for d, s in found[:10]]
+    for name, brute in [("trigram_batch_topk", brute_trigram), ("inverted_batch_topk", brute_inverted),
+                        ("inverted_unstemmed_batch_topk", lambda q: plain(q, bm25))]:
+        got = defaultdict(list)
+        for r in sorted(run(name), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append((r["doc_id"], r["score"]))
+        for i, text in items:
+            assert [d for d, _ in got[i]] == [d for d, _ in six(brute(text))], (name, text)
+            assert [s for _, s in got[i]] == pytest.approx([s for _, s in six(brute(text))], abs=2e-6)
+    tfidf = lambda tf, df, n, length, avg: tf / length * idf(n, df)
+    ranked = {i: ([d for d, _ in plain(t, bm25)], {d for d, _ in plain(t, tfidf)}) for i, t in items}
+    both = {i: len(set(a) & b) for i, (a, b) in ranked.items() if set(a) & b}
+    assert {r["query_id"]: r["overlap"] for r in run("overlap_at_100")} == both
+    place = {(t, i): ranked[i][0].index(i) + 1 if i in ranked[i][0] else -1 for i, t in items}
+    assert {(r["query"], r["document"]): r["rank"] for r in run("known_item_rank")} == place
