@@ -26,7 +26,7 @@ from quarry.llm.shared import written
 
 #: Labelled documents of each class from which terms and calibration are learnt.
 SAMPLE_PER_CLASS = 6000
-#: Of these, documents of each class that serve as neighbours.
+#: Of these, documents of each class that serve as neighbours, the first by the sample's hash.
 EXAMPLES_PER_CLASS = 1500
 MAX_TERMS = 2048
 MIN_RATIO = 20.0
@@ -248,11 +248,11 @@ def _vectors(vocabulary: Vocabulary):
                 doc, term, tf, words = vocabulary.counts(batch.column(2))
                 cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1),
+                    [batch.column(0), batch.column(1), batch.column(3),
                      pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int64())),
                      pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(tf, pa.int64())),
                      pa.array(words, pa.int64())],
-                    names=["doc_id", "toxic", "terms", "tfs", "words"],
+                    names=["doc_id", "toxic", "rank", "terms", "tfs", "words"],
                 )
 
     return run
@@ -269,7 +269,8 @@ def fit(
 ) -> Model:
     """Learn from labelled documents outside the held-out fold.
 
-    The sample is drawn by a hash of the id and is bounded by ``sample_per_class``; what
+    The sample is drawn by a hash of the id and is bounded by ``sample_per_class``; of it,
+    the first ``examples_per_class`` of each class by the same hash are neighbours. What
     comes to the driver (sample ids, chosen terms, the sample's counts of these terms) is
     bounded by the parameters. Document frequencies come from all documents. Rows without
     a label are left out; a document with several labels counts as toxic if one says so.
@@ -291,7 +292,8 @@ def fit(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the sample's size is bounded by 2 * sample_per_class rows
     sample = written(
-        base.join(F.broadcast(drawn), base["doc_id"] == drawn["_id"]).select("doc_id", "toxic", "text"), "toxic-sample"
+        base.join(F.broadcast(drawn), base["doc_id"] == drawn["_id"]).select("doc_id", "toxic", "text", rank.alias("rank")),
+        "toxic-sample",
     )
     counted = (
         sample.select("toxic", "text")
@@ -324,7 +326,7 @@ def fit(
     total = counts[size]
     counts[size] = total
     idf = np.log((1 + total) / (1 + counts)) + 1
-    rows = sample.mapInArrow(_vectors(vocabulary), "doc_id long, toxic int, terms array<long>, tfs array<long>, words long").toArrow()
+    rows = sample.mapInArrow(_vectors(vocabulary), "doc_id long, toxic int, rank long, terms array<long>, tfs array<long>, words long").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
     ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
     terms = [np.array(x, np.int64) for x in rows.column("terms").to_pylist()]
@@ -337,7 +339,11 @@ def fit(
     model.no_hit = float((bare * toxic[~hit]).sum() / bare.sum()) if bare.sum() else float((weight * toxic).sum() / weight.sum())
     if not hit.any():
         return model
-    chosen_rows = np.concatenate([np.flatnonzero(hit & (toxic == y))[:examples_per_class] for y in (1, 0)])
+    # the hash that draws the sample draws the examples too: the order of ids may follow their kinds
+    drawn_order = np.argsort(rows.column("rank").to_numpy(), kind="stable")
+    chosen_rows = np.concatenate(
+        [drawn_order[(hit & (toxic == y))[drawn_order]][:examples_per_class] for y in (1, 0)]
+    )
     # neighbours in the index resemble each other: blocks are sorted by their strongest term
     vectors = [model.vector(terms[i], tfs[i], int(words[i])) for i in chosen_rows]
     strongest = np.array([t[np.argmax(w)] for t, w in vectors])

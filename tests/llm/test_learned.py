@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quarry.llm.ann import ann_search, fit_tree, nearest
-from quarry.llm.toxicity import BlockMaxIndex, isotonic, toxicity, without_toxic
+from quarry.llm.toxicity import BlockMaxIndex, fit, isotonic, toxicity, without_toxic
 
 
 def brute_neighbours(rows, queries, k=10):
@@ -123,6 +123,18 @@ def test_toxicity(labelled):
     assert kept.count() == sum(r["predicted"] == 0 for r in got)
 
 
+def test_examples_are_drawn_from_the_whole_range_of_ids(make, spark):
+    # ids follow kinds: the words of toxic texts change half way
+    rows = [(i, f"w{i % 7} w{i % 11} " + ("plain fine" if i % 2 else "vile" if i < 400 else "dreadful")) for i in range(800)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(800)], "doc_id long, toxic int")
+    model = fit(make(rows), labels, examples_per_class=60)
+    for toxic in (0, 1):
+        ids = model.example_ids[model.example_toxic == toxic]
+        assert len(ids) == 60 and 15 <= (ids >= 400).sum() <= 45
+    late = {r["doc_id"]: r["evidence_ids"] for r in toxicity(make(rows), labels, examples_per_class=60).where("doc_id >= 700").collect()}
+    assert all(late[i] and min(late[i]) >= 400 for i in range(700, 800, 2))
+
+
 def test_toxicity_edges(make, spark):
     docs = make([(i, "a b c") for i in range(5)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
