@@ -161,21 +161,38 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     """The mix itself: the input's rows, one per copy taken, in training order. The copy
     that is taken in part holds the document's first ``part`` words with what stands
     between them. Columns are those of the input and ``position``, by which the rows are
-    range-partitioned and sorted. A document's copies keep its text otherwise untouched."""
+    range-partitioned and sorted. A document's copies keep its text otherwise untouched.
+
+    Rows that repeat an id follow the first of them. Rows with a null id are documents of
+    their own: each follows a plan row of its source and size, those of equal source and
+    size in the order of their texts' hash. A null source is a source of its own."""
     facts = F.struct("at", "size", "source_size", "target", "full", "part", "place")
+    taken = mix_plan(docs, id_col, text_col, source_col, slopes=slopes, **plan).where("taken > 0")
     rows = (
-        mix_plan(docs, id_col, text_col, source_col, slopes=slopes, **plan)
-        .where("taken > 0")
-        .groupBy("doc_id")
+        taken.groupBy("doc_id")
         .agg(F.min(facts).alias("_p"))  # rows that repeat an id follow the first of them
         .select("doc_id", "_p.*")
     )
     whole = docs.select(F.struct(*docs.columns).alias("r"))  # the input's names clash with none here
-    joined = whole.join(rows, F.col("r")[id_col] == F.col("doc_id"))
+    text = F.col("r")[text_col]
+    joined = whole.join(rows, F.col("r")[id_col] == F.col("doc_id")).drop("doc_id")
+    unnamed = F.col(id_col).cast("long").isNull()
+    if not docs.where(unnamed).isEmpty():
+        nth = lambda *by: F.row_number().over(Window.partitionBy("_source", "_size").orderBy(*by))
+        planned = (
+            taken.where("doc_id IS NULL")
+            .select(F.col("source").alias("_source"), F.col("size").alias("_size"), facts.alias("_f"))
+            .select(F.col("_source").alias("_s"), F.col("_size").alias("_n"), nth("_f.at").alias("_k"), "_f.*")
+        )
+        loose = docs.where(unnamed).select(F.struct(*docs.columns).alias("r")).select(
+            "r", F.col("r")[source_col].cast("string").alias("_source"), n_words(text).alias("_size")
+        )
+        loose = loose.withColumn("_nth", nth(F.xxhash64(text.cast("string")), text))
+        same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & (F.col("_nth") == F.col("_k"))
+        joined = joined.unionByName(loose.join(planned, same).drop("_source", "_size", "_nth", "_s", "_n", "_k"))
     copies = F.sequence(F.lit(0), (F.col("full") + (F.col("part") > 0).cast("long") - 1).cast("int"))
     several = joined.withColumn("copy", F.explode(copies))
     share = F.least((F.col("copy") * F.col("source_size") + F.col("at")) / F.col("target"), F.lit(1.0))
-    text = F.col("r")[text_col]
     lead = F.regexp_extract(text, r"^([\x20\x09-\x0D]*)", 1)
     words = F.regexp_extract_all(text, F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), 1)
     cut = F.concat(lead, F.array_join(F.slice(words, 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), ""))

@@ -64,6 +64,25 @@ def test_mix_edges(make):
     assert mix_plan(make([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])).count() == 3
 
 
+def test_mix_keeps_rows_with_a_null_id(make):
+    r = random.Random(8)
+    rows = [(None, f"n{i} " + "x " * r.choice([4, 9, 9, 30]), r.choice(["a", "b", None])) for i in range(40)]
+    rows += [(i, f"d{i} " + "y " * 12, r.choice(["a", "b", None])) for i in range(40)] + [(None, None, "a"), (None, "", "b")]
+    words = lambda texts: sum(len(re.findall(WORD, t)) for t in texts)
+    plan = mix_plan(make(rows), block_rows=4).toPandas()
+    out = mix(make(rows), block_rows=4).toPandas()
+    none = lambda d: d[d.doc_id.isna()]
+    assert words(none(out).text) == none(plan).taken.sum() > 0
+    for s in ("a", "b", None):
+        of = lambda d: d[d.source.isna() if s is None else d.source == s]  # noqa: B023, E731
+        assert words(of(none(out)).text) == of(none(plan)).taken.sum()
+        assert words(of(out).text) == of(plan).taken.sum() == pytest.approx(of(plan).target.iloc[0], abs=1.001)
+    full = {(t, s) for _, t, s in rows if t}
+    # every copy is a document or the start of one, of its own source
+    assert all(any(t.startswith(x) and s == y for t, y in full) for x, s in zip(out.text, out.source.where(out.source.notna(), None)))
+    assert out.position.is_monotonic_increasing
+
+
 def test_pack_block_fills_every_sequence():
     rng = np.random.default_rng(1)
     for _ in range(20):
