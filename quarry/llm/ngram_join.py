@@ -374,11 +374,12 @@ def _blobs(n: int):
         for whole in batches:
             for batch in K.steps(whole, 1):
                 sets = shingle_sets(batch.column(1), n)
-                c1, _ = set_marks(sets)
+                c1, c2 = set_marks(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(c1.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "c1", "blob"],
-                )
+                    [batch.column(0), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
+                     pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "c1", "c2", "blob"],
+                )
 
     return run
 
@@ -431,8 +432,8 @@ def ngram_components(
     or with a null text its set is empty and linked with nothing. Two rows link when
     100 * intersection >= percent * union. ``component_id`` is the smallest id reachable by
     links. Rows that repeat an id count as one node, linked by whichever text links; a row
-    with a null id takes part and, alone in its component, has a null component. An empty
-    table gives an empty result. Other columns are not read.
+    with a null id takes part as a node of its own, and a component of such rows alone is
+    null. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -450,9 +451,9 @@ def ngram_components(
     buckets = max(1, min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     blobs = base.select("text").mapInArrow(_emit(n, percent, buckets, frequent), BLOBS)
     groups = written(blobs.repartition(buckets, "bucket").mapInArrow(_group, "g long, c1 long"), "ngram-groups")
-    members = written(
-        groups.distinct().join(reps.where("node IS NOT NULL").select("c1", "node", "n"), "c1"), "ngram-members"
-    )
+    unnamed = _surrogates(sets, reps)
+    nodes = reps if unnamed is None else reps.where("node IS NOT NULL").unionByName(unnamed)
+    members = written(groups.distinct().join(nodes.select("c1", "node", "n"), "c1"), "ngram-members")
     links, known, state, pivots_each = None, None, members.withColumn("comp", F.col("node")), 1
     found = None
     while True:
@@ -481,7 +482,7 @@ def ngram_components(
             pairs = pairs.join(known, ["a", "ca", "b", "cb"], "left_anti")
         pairs = written(pairs, "ngram-pairs")
         known = pairs if known is None else known.unionByName(pairs)
-        marks = reps.select("node", "c1", "n", "sketch")
+        marks = nodes.select("node", "c1", "n", "sketch")
         of = lambda x, c: marks.select(F.col("node").alias(x), F.col("c1").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         likely = written(
             pairs.join(of("a", "ca"), ["a", "ca"])
@@ -490,7 +491,7 @@ def ngram_components(
             .mapInArrow(_sieve(percent), "a long, ca long, b long, cb long"),
             "ngram-likely",
         )
-        new = written(_links(base, likely, n, percent), "ngram-links")
+        new = written(_links(base, likely, n, percent, unnamed), "ngram-links")
         if not new.isEmpty():
             # what is known of components, and the new links between them
             links = new if found is None else found.select(
@@ -505,13 +506,17 @@ def ngram_components(
             state = state.withColumn("comp", F.col("node"))
         state = state.select("g", "c1", "node", "n", "comp")
         pivots_each *= 16
-    owner = reps
+    owner = nodes
     if found is not None:
         owner = written(
-            reps.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("node")),
+            nodes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("node")),
             "ngram-owner",
         )
     owner = owner.select("c1", "c2", F.col("node").alias("component_id"))
+    if unnamed is not None:  # surrogates name no component
+        ids = reps.select("c1", "c2", F.col("node").alias("_id"))
+        least = owner.join(ids, ["c1", "c2"]).groupBy("component_id").agg(F.min("_id").alias("_least"))
+        owner = owner.join(least, "component_id").select("c1", "c2", F.col("_least").alias("component_id"))
     linked = sets.join(owner, ["c1", "c2"], "left")
     return linked.select(
         F.col("doc_id").alias(id_col),
@@ -520,7 +525,23 @@ def ngram_components(
     )
 
 
-def _links(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _surrogates(sets: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """The rows of ``reps`` whose text stands only in rows with a null id, with a hash of
+    the text that is no document's id as their node; None if there are none."""
+    bare = reps.where("node IS NULL")
+    if bare.isEmpty():
+        return None
+    ids = sets.select(F.col("doc_id").alias("node"))
+    salt = 0
+    while True:
+        given = written(bare.withColumn("node", F.xxhash64(F.lit(salt), "c1", "c2")), "ngram-surrogates")
+        twice = given.groupBy("node").count().where("count > 1")
+        if twice.isEmpty() and given.join(ids, "node", "left_semi").isEmpty():
+            return given
+        salt += 1
+
+
+def _links(base: DataFrame, pairs: DataFrame, n: int, percent: int, unnamed: DataFrame | None) -> DataFrame:
     """(a, b) of the pairs that link, by the whole sets of their texts."""
     ends = written(
         pairs.select(F.col("a").alias("_id"), F.col("ca").alias("_c"))
@@ -529,10 +550,14 @@ def _links(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
         "ngram-ends",
     )
     ids = ends.select("_id").distinct()
+    blobs = "doc_id long, c1 long, c2 long, blob binary"
+    whole = base.join(ids, base["doc_id"] == ids["_id"], "left_semi").mapInArrow(_blobs(n), blobs).drop("c2")
+    if unnamed is not None:
+        bare = base.where("doc_id IS NULL").mapInArrow(_blobs(n), blobs).drop("doc_id")
+        named = unnamed.select(F.col("node").alias("doc_id"), "c1", "c2")
+        whole = whole.unionByName(bare.join(named, ["c1", "c2"]).select("doc_id", "c1", "blob"))
     texts = written(
-        base.join(ids, base["doc_id"] == ids["_id"], "left_semi")
-        .mapInArrow(_blobs(n), "doc_id long, c1 long, blob binary")
-        .join(ends, (F.col("doc_id") == F.col("_id")) & (F.col("c1") == F.col("_c")), "left_semi")
+        whole.join(ends, (F.col("doc_id") == F.col("_id")) & (F.col("c1") == F.col("_c")), "left_semi")
         .groupBy("doc_id", "c1")
         .agg(F.first("blob").alias("blob")),
         "ngram-texts",

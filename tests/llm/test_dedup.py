@@ -123,6 +123,22 @@ def test_components_edges(make):
     assert len(got) == 5
 
 
+def test_components_through_null_ids(make, near_rows):
+    base = [f"w{i}" for i in range(70)]
+    near = lambda k: " ".join([*(f"x{i}" for i in range(k)), *base[k:]])
+    chain = [(5, near(0)), (None, near(5)), (9, near(10))]  # 5 and 9 are linked only by way of the row between
+    got = [tuple(r) for r in ngram_components(make(chain)).collect()]
+    assert {(i, c) for i, _, c in got} == {(5, 5), (None, 5), (9, 5)}
+    assert [c for _, _, c in brute_components([chain[0], chain[2]])] == [5, 9]
+    assert sorted(r["doc_id"] or 0 for r in keep_one_of_each(make(chain)).collect()) == [0, 5]
+    # against brute force, where rows with a null id have large ids of their own
+    rows = [(10**6 + i if k % 3 == 0 else i, t) for k, (i, t) in enumerate(near_rows)]
+    real = lambda i: None if i >= 10**6 else i
+    want = [(real(i), n, None if n == 0 and i >= 10**6 else real(c)) for i, n, c in brute_components(rows)]
+    got = [tuple(r) for r in ngram_components(make([(real(i), t) for i, t in rows])).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_one_id_with_several_texts(make):
     r = random.Random(9)
     a, b = ([f"{x}{r.random()}" for _ in range(60)] for x in "ab")
