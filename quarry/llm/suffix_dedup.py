@@ -10,11 +10,13 @@ first narrowed to those that can repeat, without losing one:
    holds for each text that two segments of an anchor share.
 3. For the other anchors one segment per distinct text goes to a shard by its anchor. A
    shard's suffix array is built by Larsson-Sadakane refinement (doubling, re-sorting
-   only groups that are not yet singletons); common prefixes with the left neighbour are
-   taken in text order. Windows with a neighbour of 200 equal bytes repeat.
+   only groups that are not yet singletons). No prefix lengths are computed: whether
+   neighbours in the array have 200 equal bytes is read off the stored ranks, which
+   replaces Kasai's scan, as only that one length matters. Such windows repeat.
 4. An anchor with very many distinct segments is split over several shards. These also
-   emit fingerprints of their windows, which are gathered by value; sorted, each shard's
-   own are looked up in the union by binary search.
+   emit fingerprints of their windows, which are dealt out by value, sorted and grouped;
+   equal ones repeat. The grouping replaces a binary search of each shard's fingerprints
+   in the sorted union of all: it finds the same windows, and no task reads that union.
 
 All groupings are aggregates with a partial step, so a text that a third of all documents
 share shuffles one row per task.
@@ -157,7 +159,7 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np
 def repeated_windows(data: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
     """For each valid start (sorted): does its window occur at another valid start?
 
-    A common prefix of ``window`` bytes with a neighbour is checked in text order over the
+    Neighbours in suffix-array order are compared for equality over ``window`` bytes by the
     stored ranks: lengths that are powers of two add up to the window."""
     order, levels = suffix_ranks(data, window)
     is_valid = np.zeros(len(data), bool)
@@ -259,7 +261,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both["x"], both["y"] = f1[order], f2[order]
         change = np.flatnonzero(both[1:] != both[:-1]) + 1
         edges = np.concatenate([[0], change, [upto]])
-        # binary search: the group of each position among the sorted group starts
+        # the group of each position among the sorted group starts
         group = np.searchsorted(edges, np.arange(upto), side="right") - 1
         many = (edges[group + 1] - edges[group]) > 1
         at = np.sort(order[many])
