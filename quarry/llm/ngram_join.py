@@ -2,19 +2,24 @@
 
 A candidate search by the pigeonhole principle over a partitioned universe:
 
-* Sets are sorted into size bands of ratio 4/3, so linked sets lie in one band or in
-  neighbours; a set takes part in its own band and in the next.
-* A band hashes the universe into m segments. Sets that differ in at most H elements
-  agree on all but H of their m segment subsets. Under one global order of subsets, the
-  first H + 1 subsets of either set then include a common one. The order spends this
-  budget where it costs least: subsets with most elements that are not frequent come
-  first. Which elements are frequent is counted over all documents, and only the cost
-  depends on it.
-* Small bands are allotted one segment with its one-deletion neighbourhoods instead: sets
-  that differ by one element share the set, or one of them less one element. ``allotment``
-  chooses by the rows each way costs.
-
-Subsets that several sets have in common form groups. In each round a few pivots of every
+* Linked sets x and y have at least ``overlap`` elements in common, so each misses only a few
+  of the other's: a set of n elements, as the smaller of a pair, at most a seventh of n, and
+  as the larger at most a quarter (at 75 percent).
+* The universe is partitioned into segments as fine as single elements, under one global
+  order. Whatever stands in the first misses + 1 segments of either set includes a common
+  one. The order spends this budget where it costs least: elements that were counted as
+  frequent come last, the most frequent at the very end.
+* A common first element at place i of x and j of y leaves ``min(|x| - i, |y| - j)`` elements
+  to have in common; a group of sets with one element in common is dropped if no member has
+  enough left to be the smaller of a pair, and pairs that have not enough left are no
+  candidates. Sets that only share a passage, in most of their places, go by this. A pair is
+  compared in the first of the groups that both are in, or in few, not in all.
+* Small size bands, in which linked sets differ in one element at most, may be allotted one
+  segment with its one-deletion neighbourhoods instead: then the sets share a whole subset,
+  or one of them less one element. ``allot`` counts both ways' signatures over all documents
+  and takes, band by band, the one with fewer rows and pairs.
+
+Elements that several sets have in common form groups. In each round a few pivots of every
 group are compared with the members that are not yet in their component, so a group of
 near copies costs a comparison for each member and not one for each pair. Parity sketches,
 whose differing bits are at most the sets' differing elements, rule out most pairs; the
@@ -28,17 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import textkernel as K
 from quarry.llm.components import components
-from quarry.llm.shared import written
+from quarry.llm.shared import discard, written
 
 WORDS = 5
 PERCENT = 75
-#: Text and sets whose subsets are sorted and shuffled together.
-EMIT_BYTES, EMIT_SETS = 1 << 20, 1 << 14
+#: Text and sets whose signatures are sorted and shuffled together.
+EMIT_BYTES, EMIT_SETS = 1 << 20, 1 << 13
+#: Signatures that one bucket holds on average; their number decides how many buckets there are.
+BUCKET_SIGNATURES = 1 << 19
 _U = np.uint64
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -87,9 +95,13 @@ def set_marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Shingles that this many sets of a block share are counted as perhaps frequent.
-FREQUENT_IN_BLOCK, BLOCK_SHINGLES = 8, 2_000_000
-#: The most frequent of these are told apart in ordering subsets; the others only cost more.
-FREQUENT = 1 << 17
+FREQUENT_IN_BLOCK, BLOCK_SHINGLES = 4, 2_000_000
+#: The most frequent of these are told apart in ordering elements; the others only cost more.
+FREQUENT = 1 << 18
+#: Places are rounded down to this many steps of the longest that a set shows.
+PLACES = 255
+#: Groups before a row's own that are remembered; see ``_before``.
+BEFORE = 4
 SETS = "kind int, doc_id long, n long, c1 long, c2 long, sketch binary"
 
 
@@ -100,28 +112,164 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketch_difference(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the sets' differing elements; the longer sketch is folded."""
-    if len(a) < len(b):
-        a, b = b, a
-    while len(a) > len(b):
-        half = len(a) // 2
-        a = a[:half] ^ a[half:]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
-def _meta(n: int):
-    """Rows of kind 0 tell each document's set, of kind 1 shingles that are perhaps frequent."""
-
-    def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        flat = np.sort(np.concatenate(held))
-        at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        count = np.diff(np.append(at, len(flat)))
-        many = count >= FREQUENT_IN_BLOCK
-        k = int(many.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[many]),
-             pa.array(flat[at[many]].view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
+def sketch_differences(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """A lower bound of each pair's differing elements; the longer sketch is folded."""
+    out = np.zeros(len(a), np.int64)
+    la, lb = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    kinds, of = np.unique(np.stack([la, lb]), axis=1, return_inverse=True)
+    for k, (m, n) in enumerate(kinds.T.tolist()):
+        rows = np.flatnonzero(of.ravel() == k)
+        x, y = (
+            K.bytes_of(col.take(pa.array(rows)))[0].reshape(len(rows), width) for col, width in ((a, m), (b, n))
+        )
+        while x.shape[1] != y.shape[1]:
+            if x.shape[1] < y.shape[1]:
+                x, y = y, x
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        out[rows] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+class Bands:
+    """What linked sets of given sizes have in common, and size bands of ratio
+    100 / ``percent``, so that linked sets lie in one band or in neighbours."""
+
+    def __init__(self, percent: int = PERCENT):
+        self.percent = percent
+        self.low, self.high = [], []
+        low = 1
+        while low < 1 << 40:
+            high = low * 100 // percent
+            self.low.append(low)
+            self.high.append(high)
+            low = high + 1
+        self._lows = np.array(self.low)
+        #: Most elements in which linked sets of a band, or of it and the one below, differ.
+        self.worst = np.array([self.differ(2 * h) for h in self.high])
+
+    def of(self, size: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self._lows, size, side="right") - 1
+
+    def differ(self, total):
+        return total * (100 - self.percent) // (100 + self.percent)
+
+    def overlap(self, total):
+        """Fewest elements that linked sets of that total size have in common."""
+        return -(-self.percent * total // (100 + self.percent))
+
+    def shown(self, n):
+        """Elements that a set has to show: as the larger of a pair it may miss most."""
+        return n - self.overlap(n - (-self.percent * n // 100)) + 1
+
+    def may_be_smaller(self, left, n):
+        """Can a set of n elements, of which the last ``left`` are open, be linked with one
+        of its size or larger?"""
+        return left >= self.overlap(2 * n)
+
+    def steps(self, place, n):
+        """``place`` in steps of the most that a set misses, rounded down."""
+        return place * 100 * PLACES // np.maximum((100 - self.percent) * n, 1)
+
+    def left(self, step, n):
+        """Elements from a place on; not fewer than there are."""
+        return n - -(-step * (100 - self.percent) * n // (100 * PLACES))
+
+
+class Frequent:
+    """Ranks of the frequent shingles by their counts; 0 for all others."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ranks = np.minimum(1 + 6 * np.log2(np.maximum(counts[order], 1)), 255).astype(_U)
+        self.may = np.zeros(1 << 22, bool)
+        self.may[(self.hashes >> _U(42)).astype(np.int64)] = True
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), _U)
+        if len(self.hashes):
+            at = np.flatnonzero(self.may[(x >> _U(42)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.hashes, x[at]), len(self.hashes) - 1)
+            out[at] = np.where(self.hashes[place] == x[at], self.ranks[place], _U(0))
+        return out
+
+
+def by_elements(sets: list[np.ndarray], bands: Bands, frequent: Frequent | None = None):
+    """(signature, number of its set, step of its place): the elements that each set shows."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    key = (owner.astype(_U) << _U(49)) | (K.mix(flat ^ _ODD[12]) >> _U(23))
+    if frequent is not None:
+        key |= frequent(flat) << _U(41)
+    # sets are sorted, so elements with one key keep one order in all of them
+    order = np.argsort(key, kind="stable")
+    own = owner[order]
+    place = np.arange(len(flat)) - (np.cumsum(size) - size)[own]
+    keep = place < bands.shown(size)[own]
+    return flat[order[keep]], own[keep], bands.steps(place[keep], size[own[keep]])
+
+
+def by_deletion(s: np.ndarray, band: int) -> np.ndarray:
+    """Signatures of one segment and its one-deletion neighbourhoods: the set, and the set
+    less each of its elements."""
+    tokens = K.mix(s ^ _ODD[9])
+    total = tokens.sum(dtype=_U)
+    near = total - tokens if len(s) > 1 else tokens[:0]
+    return np.unique(K.mix(np.append(near, total) + _ODD[10:11] * _U(band + 1)))
+
+
+def signatures(
+    sets: list[np.ndarray], bands: Bands, deletion: frozenset[int] = frozenset(), frequent: Frequent | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, number of its set, step of its place) in a set's own band and the next.
+    The bands of ``deletion`` are allotted one-deletion neighbourhoods. Sets that no other
+    set can be linked with have no signatures."""
+    size = np.array([len(s) for s in sets], np.int64)
+    own = bands.of(np.maximum(size, 1))
+    by_element = np.zeros(len(sets), bool)
+    sigs, sides = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for shift in (0, 1):
+        band = own + shift
+        deleted = np.isin(band, list(deletion))
+        by_element |= ~deleted & (bands.worst[band] > 0)
+        for k in np.flatnonzero(deleted & (size > 0)).tolist():
+            sigs.append(by_deletion(sets[k], int(band[k])))
+            sides.append(np.full(len(sigs[-1]), k))
+    sig, side = np.concatenate(sigs), np.concatenate(sides)
+    step = np.zeros(len(sig), np.int64)
+    at = np.flatnonzero(by_element & (size > 0))
+    if not len(at):
+        return sig, side, step
+    more, number, place = by_elements([sets[k] for k in at], bands, frequent)
+    return np.concatenate([sig, more]), np.concatenate([side, at[number]]), np.concatenate([step, place])
+
+
+def _small_signatures(sets: list[np.ndarray], bands: Bands) -> Iterator[tuple[int, np.ndarray]]:
+    """(2 * band, or that + 1, signatures) of the small bands by elements and by deletion."""
+    size = np.array([len(s) for s in sets], np.int64)
+    own = bands.of(np.maximum(size, 1))
+    for band in np.flatnonzero(bands.worst == 1).tolist():
+        mine = [sets[k] for k in np.flatnonzero((size > 0) & ((own == band) | (own == band - 1)))]
+        if mine:
+            yield 2 * band, by_elements(mine, bands)[0]
+            yield 2 * band + 1, np.concatenate([by_deletion(s, band) for s in mine])
+
+
+def _meta(n: int, percent: int):
+    """Rows of kind 0 tell each document's set; of kind 1 shingles that are perhaps frequent,
+    with their number; of kind 2 how often a signature of a small band occurs."""
+    bands = Bands(percent)
+
+    def counted(kind: int, mark: int | None, flat: np.ndarray, least: int) -> pa.RecordBatch:
+        value, count = np.unique(flat, return_counts=True)
+        value, count = value[count >= least], count[count >= least]
+        k = len(value)
+        marks = pa.nulls(k, pa.int64()) if mark is None else pa.array(np.full(k, mark))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(k, kind, np.int32)), marks, pa.array(count),
+             pa.array(value.view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
             names=["kind", "doc_id", "n", "c1", "c2", "sketch"],
         )
 
@@ -140,126 +288,50 @@ def _meta(n: int):
                      pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
                     names=["kind", "doc_id", "n", "c1", "c2", "sketch"],
                 )
+                fresh = []
                 for mark, s in zip(c1.tolist(), sets, strict=True):
                     if mark not in seen and len(s):
                         seen.add(mark)
-                        held.append(s)
+                        fresh.append(s)
                         total += len(s)
+                held += fresh
+                for mark, flat in _small_signatures(fresh, bands):
+                    yield counted(2, mark, flat, 1)
                 if total >= BLOCK_SHINGLES:
-                    yield from frequent(held)
+                    yield counted(1, None, np.concatenate(held), FREQUENT_IN_BLOCK)
                     held, seen, total = [], set(), 0
         if held:
-            yield from frequent(held)
+            yield counted(1, None, np.concatenate(held), FREQUENT_IN_BLOCK)
 
     return run
 
 
-class Frequent:
-    """Membership among the frequent shingles."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.may = np.zeros(1 << 22, bool)
-        self.may[(self.hashes >> _U(42)).astype(np.int64)] = True
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = self.may[(x >> _U(42)).astype(np.int64)]
-        if len(self.hashes):
-            at = np.flatnonzero(out)
-            place = np.minimum(np.searchsorted(self.hashes, x[at]), len(self.hashes) - 1)
-            out[at] = self.hashes[place] == x[at]
-        return out
-
-
-class Bands:
-    """Size bands and each band's allotment for links at ``percent`` / 100 Jaccard."""
+def allot(counts: DataFrame) -> frozenset[int]:
+    """The bands that are cheaper by one-deletion neighbourhoods, from the counted rows
+    ``(doc_id, c1, n)`` of kind 2. A way costs its rows and the pairs that they make."""
+    cost = (
+        counts.groupBy("doc_id", "c1")
+        .agg(F.sum("n").cast("double").alias("n"))
+        .groupBy("doc_id")
+        .agg(F.sum(F.col("n") + F.col("n") * (F.col("n") - 1) / 2).alias("cost"))
+    )
+    found = {r["doc_id"]: r["cost"] for r in cost.collect()}  # two rows for each small band
+    return frozenset(k // 2 for k in found if k % 2 and found[k] < found.get(k - 1, 0.0))
 
-    def __init__(self, percent: int = PERCENT):
-        self.percent = percent
-        self.low, self.high = [], []
-        low = 1
-        while low < 1 << 40:
-            high = low * 100 // percent
-            self.low.append(low)
-            self.high.append(high)
-            low = high + 1
-        self._lows = np.array(self.low)
 
-    def of(self, size: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self._lows, size, side="right") - 1
+BLOBS = "bucket long, kind int, sig binary, owner binary, step binary, nodes binary, sizes binary"
+#: Bits of a signature beside its bucket, and the marks beside the number of its set.
+_LOW = _U((1 << 48) - 1)
+_COMPANY, _SMALL, _NUMBER = 1 << 15, 1 << 14, (1 << 14) - 1
 
-    def differ(self, total):
-        """Most elements in which linked sets of that total size differ."""
-        return total * (100 - self.percent) // (100 + self.percent)
 
-    def allotment(self, band: int) -> tuple[int, bool]:
-        """(segments, with one-deletion neighbourhoods). A neighbourhood weighs two and
-        costs a row per element; a plain subset weighs one and costs a row. Plain subsets
-        need segments of some size to be selective, which small sets cannot give."""
-        high = self.high[band]
-        worst = int(self.differ(2 * high))
-        if worst <= 1:
-            return 1, worst == 1
-        return max(worst + 1, high // 2), False
+def _group_id(bucket, low: np.ndarray) -> np.ndarray:
+    return K.mix(low ^ K.mix(np.atleast_1d(bucket).astype(_U) + _ODD[17]))
 
 
-def signatures(
-    sets: list[np.ndarray], bands: Bands, frequent: Frequent | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of its set) of all sets in their own band and the next."""
-    size = np.array([len(s) for s in sets], np.int64)
-    own = bands.of(np.maximum(size, 1))
-    found_sig, found_set = [], []
-    for shift in (0, 1):
-        band = own + shift
-        plan = {b: bands.allotment(b) for b in np.unique(band[size > 0]).tolist()}
-        segs = np.array([plan[b][0] if s else 0 for b, s in zip(band.tolist(), size.tolist(), strict=True)], np.int64)
-        near = np.array([bool(s) and plan[b][1] for b, s in zip(band.tolist(), size.tolist(), strict=True)])
-        for k in np.flatnonzero(near):
-            tokens = K.mix(sets[k] ^ _ODD[9])
-            total = tokens.sum(dtype=_U)
-            sig = K.mix(np.append(total - tokens, total) + _ODD[10:11] * _U(int(band[k]) + 1))
-            found_sig.append(np.unique(sig))
-            found_set.append(np.full(len(found_sig[-1]), k))
-        most = np.minimum(np.array(bands.high)[band], size * 100 // bands.percent)
-        need = bands.differ(size + most) + 1
-        at = np.flatnonzero(~near & (segs > 1))
-        if not len(at):
-            continue
-        flat = np.concatenate([sets[k] for k in at])
-        doc = np.repeat(np.arange(len(at)), size[at])
-        m = segs[at]
-        base = np.cumsum(m) - m
-        tag = _ODD[11] * (band[at].astype(_U) + _U(1))
-        where = base[doc] + (K.mix(flat + tag[doc]) % m[doc].astype(_U)).astype(np.int64)
-        token = K.mix(flat ^ _ODD[12])
-        cells = int(m.sum())
-        rare = where if frequent is None else where[~frequent(flat)]
-        count = np.bincount(rare, minlength=cells)
-        low = np.bincount(where, (token & _U(0xFFFFFFFF)).astype(np.float64), cells).astype(_U)
-        top = np.bincount(where, (token >> _U(32)).astype(np.float64), cells).astype(_U)
-        owner = np.repeat(np.arange(len(at)), m)
-        segment = (np.arange(cells) - base[owner]).astype(_U)
-        sig = K.mix(K.mix(low + tag[owner]) + K.mix(top ^ _ODD[13]) + segment * _ODD[14])
-        # One global order of subsets: by elements that are not frequent, most first, then by
-        # hash. Empty ones and those of frequent elements only come last.
-        key = (owner.astype(_U) << _U(49)) | ((_U(255) - np.minimum(count, 255).astype(_U)) << _U(41)) | (sig >> _U(23))
-        order = np.argsort(key)
-        place = np.arange(cells) - base[owner[order]]
-        order = order[place < need[at][owner[order]]]
-        found_sig.append(sig[order])
-        found_set.append(at[owner[order]])
-    if not found_sig:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    return np.concatenate(found_sig), np.concatenate(found_set)
-
-
-BLOBS = "bucket int, kind int, high binary, low binary, owner binary, nodes binary"
-
-
-def _emit(n: int, percent: int, buckets: int, frequent):
+def _emit(n: int, percent: int, buckets: int, deletion: frozenset[int], frequent):
     """Signatures, packed by bucket. A signature that several sets of one emission share
-    leaves one row for its bucket; the others' membership travels apart, so a subset that
+    leaves one row for its bucket; the others' membership travels apart, so an element that
     very many documents share sends one row from each emission."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,99 +346,124 @@ def _emit(n: int, percent: int, buckets: int, frequent):
                     c1, _ = set_marks(sets)
                     _, only = np.unique(c1, return_index=True)
                     sets, c1 = [sets[k] for k in only], c1[only]
-                    sig, owner = signatures(sets, bands, frequent.value)
-                    bucket = ((sig >> _U(48)) * _U(buckets)) >> _U(16)
-                    sig = (bucket << _U(48)) | (sig & _U(0xFFFFFFFFFFFF))
+                    size = np.array([len(s) for s in sets], np.int64)
+                    sig, owner, places = signatures(sets, bands, deletion, frequent.value)
+                    if not len(sig):
+                        continue
                     order = np.argsort(sig)
-                    sig, owner, bucket = sig[order], owner[order], bucket[order]
+                    sig, owner, places = sig[order], owner[order], places[order].astype(np.uint8)
+                    bucket = ((sig >> _U(32)) * _U(buckets)) >> _U(32)
                     head = np.ones(len(sig), bool)
                     np.not_equal(sig[1:], sig[:-1], out=head[1:])
-                    company = np.append(~head[1:], False) & head
-                    others = ~head
+                    company = np.append(~head[1:], False)[head]
+                    small = bands.may_be_smaller(bands.left(places.astype(np.int64), size[owner]), size[owner])
+                    small = np.logical_or.reduceat(small, np.flatnonzero(head))
                     rows = []
-                    edge = np.searchsorted(bucket[head], np.arange(buckets + 1))
-                    s, o, c = sig[head], owner[head], company[head]
-                    low = s.astype(np.uint32)
-                    high = ((s >> _U(32)) & _U(0xFFFF)).astype(np.uint16)
-                    for b in np.flatnonzero(np.diff(edge)).tolist():
-                        a, z = int(edge[b]), int(edge[b + 1])
-                        used, place = np.unique(o[a:z], return_inverse=True)
-                        mark = place.astype(np.uint16) | (c[a:z].astype(np.uint16) << 15)
-                        rows.append((b, 0, high[a:z].tobytes(), low[a:z].tobytes(), mark.tobytes(), c1[used].tobytes()))
-                    if others.any():
-                        g, node = K.mix(sig[others]), c1[owner[others]]
+                    low, own, place = (sig & _LOW)[head], owner[head], places[head]
+                    mark = (company * _COMPANY + small * _SMALL).astype(np.uint16)
+                    home = bucket[head]
+                    cut = np.flatnonzero(home[1:] != home[:-1]) + 1
+                    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(low)], strict=True):
+                        used, number = np.unique(own[a:z], return_inverse=True)
+                        six = low[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                        rows.append((
+                            int(home[a]), 0, six.tobytes(), (number.astype(np.uint16) | mark[a:z]).tobytes(),
+                            place[a:z].tobytes(), c1[used].tobytes(), size[used].tobytes(),
+                        ))
+                    if not head.all():
+                        rest = ~head
                         turn += 1
-                        rows.append((turn % buckets, 1, g.tobytes(), b"", b"", node.tobytes()))
-                    cols = list(zip(*rows, strict=True))
-                    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                        g = _group_id(bucket[rest], sig[rest] & _LOW)
+                        rows.append((
+                            turn % buckets, 1, g.tobytes(), b"", places[rest].tobytes(),
+                            c1[owner[rest]].tobytes(), size[owner[rest]].tobytes(),
+                        ))
+                    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)],
-                        names=["bucket", "kind", "high", "low", "owner", "nodes"],
+                        [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=["bucket", "kind", "sig", "owner", "step", "nodes", "sizes"],
                     )
 
     return run
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs of a partition -> (g, c1) membership of subsets with more than one set."""
-    sigs, nodes, marks = [], [], []
+GROUPS = "g long, c1 long, n long, left long"
+
+
+def _group(percent: int):
+    """Blobs sorted by bucket -> rows ``GROUPS`` of the signatures that several sets have,
+    one of which can be the smaller of a pair. One bucket is held at a time."""
+    bands = Bands(percent)
 
-    def rows(g: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(g: np.ndarray, node: np.ndarray, n: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(g), 1 << 16):
             part = slice(a, a + (1 << 16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g[part].view(np.int64)), pa.array(node[part].view(np.int64))], names=["g", "c1"]
+                [pa.array(g[part].view(np.int64)), pa.array(node[part].view(np.int64)), pa.array(n[part]), pa.array(left[part])],
+                names=["g", "c1", "n", "left"],
             )
 
-    for batch in batches:
-        for bucket, kind, high, low, owner, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            table = np.frombuffer(node, _U)
-            if kind:
-                yield from rows(np.frombuffer(high, _U), table)
-                continue
-            own = np.frombuffer(owner, np.uint16)
-            sigs.append(
-                (_U(bucket) << _U(48))
-                | (np.frombuffer(high, np.uint16).astype(_U) << _U(32))
-                | np.frombuffer(low, np.uint32).astype(_U)
-            )
-            nodes.append(table[own & 0x7FFF])
-            marks.append(own >> 15)
-    if not sigs:
-        return
-    sig, node, mark = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(marks)
-    sigs, nodes, marks = [], [], []
-    order = np.argsort(sig)
-    sig = sig[order]
-    # only signatures with company go on
-    same = np.zeros(len(sig), bool)
-    equal = sig[1:] == sig[:-1]
-    same[1:] |= equal
-    same[:-1] |= equal
-    keep = same | (mark[order] > 0)
-    order, sig = order[keep], sig[keep]
-    node, mark = node[order], mark[order]
-    order = np.lexsort((node, sig))
-    sig, node, mark = sig[order], node[order], mark[order]
-    if not len(sig):
-        return
-    head = np.append(True, sig[1:] != sig[:-1])
-    start = np.flatnonzero(head)
-    marked = np.maximum.reduceat(mark, start)
-    fresh = head | np.append(True, node[1:] != node[:-1])
-    group = np.cumsum(head) - 1
-    distinct = np.add.reduceat(fresh.astype(np.int64), start)
-    members = np.add.reduceat(np.where(fresh, K.mix(node), _U(0)), start)
-    g = np.where(marked > 0, K.mix(sig[start]), K.mix(members ^ _ODD[15]))
-    wanted = (marked > 0) | (distinct > 1)
-    plain = wanted & (marked == 0)
-    # groups with the same members are one group
-    _, one = np.unique(np.where(plain, g, _U(0)), return_index=True)
-    chosen = np.zeros(len(start), bool)
-    chosen[one] = True
-    wanted &= chosen | (marked > 0)
-    take = fresh & wanted[group]
-    yield from rows(g[group[take]], node[take])
+    def whole(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sig = np.concatenate([h[0] for h in held])
+        order = np.argsort(sig, kind="stable")
+        near = sig[order]
+        same = np.zeros(len(sig), bool)
+        equal = near[1:] == near[:-1]
+        same[1:] |= equal
+        same[:-1] |= equal
+        mark = np.concatenate([h[1] for h in held])
+        order = order[same | (mark[order] & _COMPANY > 0)]  # only signatures with company go on
+        if not len(order):
+            return
+        sig, mark = sig[order], mark[order]
+        node, n, left = (np.concatenate([h[k] for h in held])[order] for k in (2, 3, 4))
+        order = np.lexsort((node, sig))
+        sig, mark, node, n, left = (x[order] for x in (sig, mark, node, n, left))
+        head = np.append(True, sig[1:] != sig[:-1])
+        start, group = np.flatnonzero(head), np.cumsum(head) - 1
+        marks = np.bitwise_or.reduceat(mark, start)
+        fresh = head | np.append(True, node[1:] != node[:-1])
+        several = marks & _COMPANY > 0
+        wanted = (several | (np.add.reduceat(fresh.astype(np.int64), start) > 1)) & (marks & _SMALL > 0)
+        members = np.add.reduceat(np.where(fresh, K.mix(node), _U(0)), start)
+        g = np.where(several, _group_id(bucket, sig[start]), K.mix(members ^ _ODD[15]))
+        # groups with the same members are one group, in which the earliest place counts
+        first = np.arange(len(start))
+        plain = np.flatnonzero(wanted & ~several)
+        _, one, which = np.unique(g[plain], return_index=True, return_inverse=True)
+        first[plain] = plain[one[which]]
+        number = np.cumsum(fresh) - 1
+        take = fresh & wanted[group]
+        target = number[start][first[group]] + number - number[start][group]
+        most = np.zeros(int(number[-1]) + 1, np.int64)
+        np.maximum.at(most, target[take], left[take])
+        take &= first[group] == group
+        yield from rows(g[group[take]], node[take], n[take], most[number[take]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            for bucket, kind, sig, owner, step, node, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                nodes, sizes = np.frombuffer(node, _U), np.frombuffer(size, np.int64)
+                places = np.frombuffer(step, np.uint8).astype(np.int64)
+                if kind:
+                    yield from rows(np.frombuffer(sig, _U), nodes, sizes, bands.left(places, sizes))
+                    continue
+                if bucket != last and held:
+                    yield from whole(last, held)
+                    held = []
+                last = bucket
+                six = np.zeros((len(places), 8), np.uint8)
+                six[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
+                own = np.frombuffer(owner, np.uint16)
+                number = own & _NUMBER
+                n = sizes[number]
+                held.append((six.view("<u8").ravel(), own & (_COMPANY | _SMALL), nodes[number], n, bands.left(places, n)))
+        if held:
+            yield from whole(last, held)
+
+    return run
 
 
 def _blobs(n: int):
@@ -390,13 +487,10 @@ def _sieve(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             most = bands.differ(batch.column(4).to_numpy() + batch.column(5).to_numpy())
-            view = lambda x: np.frombuffer(x.as_buffer(), np.uint8)
-            ok = [
-                sketch_difference(view(x), view(y)) <= m
-                for x, y, m in zip(batch.column(6), batch.column(7), most.tolist(), strict=True)
-            ]
-            mask = pa.array(ok, pa.bool_())
+            mask = pa.array(sketch_differences(batch.column(6), batch.column(7)) <= most)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).filter(mask) for k in range(4)], names=["a", "ca", "b", "cb"]
             )
@@ -431,13 +525,14 @@ def ngram_components(
     case. A text with fewer than ``n`` words has them all as its one shingle; without words
     or with a null text its set is empty and linked with nothing. Two rows link when
     100 * intersection >= percent * union. ``component_id`` is the smallest id reachable by
-    links. Rows that repeat an id count as one node, linked by whichever text links; a row
-    with a null id takes part as a node of its own, and a component of such rows alone is
-    null. An empty table gives an empty result. Other columns are not read.
+    links. Rows that repeat an id count as one node, linked by whichever text links, also
+    where one of the texts is empty; a row with a null id takes part as a node of its own,
+    and a component of such rows alone is null. An empty table gives an empty result. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(base.mapInArrow(_meta(n), SETS), "ngram-sets")
+    rows = written(base.mapInArrow(_meta(n, percent), SETS), "ngram-sets")
     sets = rows.where("kind = 0").drop("kind")
     reps = written(
         sets.where("n > 0")
@@ -445,34 +540,22 @@ def ngram_components(
         .agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sketch").alias("sketch")),
         "ngram-reps",
     )
-    top = rows.where("kind = 1").groupBy("c1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c1").limit(FREQUENT)
-    hashes = top.select("c1").toArrow().column("c1").to_numpy().astype(np.int64).view(_U)
-    frequent = spark.sparkContext.broadcast(Frequent(hashes))  # bounded by FREQUENT
-    buckets = max(1, min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    blobs = base.select("text").mapInArrow(_emit(n, percent, buckets, frequent), BLOBS)
-    groups = written(blobs.repartition(buckets, "bucket").mapInArrow(_group, "g long, c1 long"), "ngram-groups")
+    members = _members(base, rows, reps, n, percent)
     unnamed = _surrogates(sets, reps)
     nodes = reps if unnamed is None else reps.where("node IS NOT NULL").unionByName(unnamed)
-    members = written(groups.distinct().join(nodes.select("c1", "node", "n"), "c1"), "ngram-members")
-    links, known, state, pivots_each = None, None, members.withColumn("comp", F.col("node")), 1
-    found = None
-    while True:
-        active = (
-            state.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-        )
-        state = written(state.join(active, "g", "left_semi"), "ngram-state")
-        if state.isEmpty():
-            break
-        by_node = F.row_number().over(_window())
-        pivots = written(
-            state.select("g", "c1", "node", "n", "comp").withColumn("_k", by_node).where(F.col("_k") <= pivots_each),
-            "ngram-pivots",
-        )
-        p = pivots.select("g", *[F.col(c).alias(f"p_{c}") for c in ("c1", "node", "n", "comp")])
+    named = members.join(nodes.select("c1", "n", "node"), ["c1", "n"]).select("g", "c1", "node", "n", "left", _before())
+    state = written(_open(named.withColumn("comp", F.col("node")), percent), "ngram-state")
+    known, found, compared = None, None, 1
+    while not state.isEmpty():
+        by_node = F.row_number().over(Window.partitionBy("g").orderBy("node", "c1"))
+        pivots = written(state.withColumn("_k", by_node).where(F.col("_k") <= compared), "ngram-pivots")
+        p = pivots.select("g", *[F.col(c).alias(f"p_{c}") for c in ("c1", "node", "n", "left", "before", "comp")])
         pairs = (
             state.join(p, "g")
             .where("struct(node, c1) > struct(p_node, p_c1) AND comp <> p_comp")
             .where(f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)")
+            .where(f"{100 + percent} * least(left, p_left) >= {percent} * (n + p_n)")
+            .where("NOT arrays_overlap(before, p_before)")  # the pair stands in that group too
             .select(
                 F.col("p_node").alias("a"), F.col("p_c1").alias("ca"), F.col("node").alias("b"), F.col("c1").alias("cb")
             )
@@ -482,47 +565,122 @@ def ngram_components(
             pairs = pairs.join(known, ["a", "ca", "b", "cb"], "left_anti")
         pairs = written(pairs, "ngram-pairs")
         known = pairs if known is None else known.unionByName(pairs)
-        marks = nodes.select("node", "c1", "n", "sketch")
-        of = lambda x, c: marks.select(F.col("node").alias(x), F.col("c1").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        likely = written(
-            pairs.join(of("a", "ca"), ["a", "ca"])
-            .join(of("b", "cb"), ["b", "cb"])
-            .select("a", "ca", "b", "cb", "n_a", "n_b", "s_a", "s_b")
-            .mapInArrow(_sieve(percent), "a long, ca long, b long, cb long"),
-            "ngram-likely",
-        )
-        new = written(_links(base, likely, n, percent, unnamed), "ngram-links")
+        new = _links(base, _likely(pairs, nodes, percent), n, percent, unnamed)
         if not new.isEmpty():
             # what is known of components, and the new links between them
-            links = new if found is None else found.select(
-                F.col("node").alias("a"), F.col("component").alias("b")
-            ).unionByName(new)
-            found = written(components(links), "ngram-components")
+            links = new if found is None else _edges(found).unionByName(new)
+            found, old = written(components(links), "ngram-components"), found
+            discard(old)
+        discard(new)
         last = pivots.groupBy("g").agg(F.max(F.struct("node", "c1")).alias("_last"))
-        state = state.drop("comp").join(last, "g").where("struct(node, c1) > _last").drop("_last")
+        later = state.drop("comp").join(last, "g").where("struct(node, c1) > _last").drop("_last")
         if found is not None:
-            state = state.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            later = later.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         else:
-            state = state.withColumn("comp", F.col("node"))
-        state = state.select("g", "c1", "node", "n", "comp")
-        pivots_each *= 16
-    owner = nodes
+            later = later.withColumn("comp", F.col("node"))
+        state, old = written(_open(later.select("g", "c1", "node", "n", "left", "before", "comp"), percent), "ngram-state"), state
+        discard(old, pivots)
+        compared *= 16
+    discard(members, state)
+    found, several = _one_node_per_id(sets, nodes, found)
+    owner = nodes.select("c1", "c2", F.col("node").alias("component_id"))
     if found is not None:
         owner = written(
-            nodes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("node")),
+            nodes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id")),
             "ngram-owner",
         )
-    owner = owner.select("c1", "c2", F.col("node").alias("component_id"))
     if unnamed is not None:  # surrogates name no component
         ids = reps.select("c1", "c2", F.col("node").alias("_id"))
         least = owner.join(ids, ["c1", "c2"]).groupBy("component_id").agg(F.min("_id").alias("_least"))
-        owner = owner.join(least, "component_id").select("c1", "c2", F.col("_least").alias("component_id"))
-    linked = sets.join(owner, ["c1", "c2"], "left")
-    return linked.select(
-        F.col("doc_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        least = written(least, "ngram-least")
+        named_by = lambda d: d.join(least, "component_id", "left").drop("component_id").withColumnRenamed("_least", "component_id")
+        owner = named_by(owner)
+    full = sets.where("n > 0").join(owner, ["c1", "c2"], "left").select("doc_id", "n", "component_id")
+    empty = sets.where("n = 0").select("doc_id", "n")
+    if several:
+        held = found.select(F.col("node").alias("_id"), F.col("component").alias("component_id"))
+        held = held if unnamed is None else named_by(held)
+        empty = empty.join(held, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        empty = empty.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    else:
+        empty = empty.withColumn("component_id", F.col("doc_id"))
+    return full.unionByName(empty).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _members(base: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """(g, c1, n, left): the sets of every signature that several have in common."""
+    spark = base.sparkSession
+    top = rows.where("kind = 1").groupBy("c1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c1").limit(FREQUENT)
+    held = top.select("c1", "n").toArrow()  # bounded by FREQUENT, as is what is broadcast
+    hashes, counts = (held.column(c).to_numpy().astype(np.int64) for c in ("c1", "n"))
+    frequent = spark.sparkContext.broadcast(Frequent(hashes.view(_U), counts))
+    deletion = allot(rows.where("kind = 2"))
+    shown = reps.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("s")).first()["s"] or 0
+    buckets = max(1, min((1 << 32) - 1, int(shown // BUCKET_SIGNATURES) + 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    blobs = base.select("text").mapInArrow(_emit(n, percent, buckets, deletion, frequent), BLOBS)
+    dealt = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    groups = written(dealt.mapInArrow(_group(percent), GROUPS), "ngram-groups")
+    # groups of different buckets with the same members are one group too
+    members = written(groups.groupBy("g", "c1", "n").agg(F.max("left").alias("left")), "ngram-members")
+    discard(groups)
+    return members
+
+
+def _before() -> Column:
+    """The groups just before a row's group in its set's order. A pair that stands in one of
+    them too, in both orders before this one, is compared there, where both have as much
+    left or more; so near copies meet in one group or a few, not in each."""
+    order = Window.partitionBy("c1", "node").orderBy(F.desc("left"), "g")
+    return F.array_compact(F.array(*[F.lag("g", k).over(order) for k in range(1, BEFORE + 1)])).alias("before")
+
+
+def _open(state: DataFrame, percent: int) -> DataFrame:
+    """The rows of groups in which pairs may still have to be compared."""
+    small = F.max(F.expr(f"{100 + percent} * left >= {percent} * 2 * n"))
+    active = (
+        state.groupBy("g")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), small.alias("small"))
+        .where("lo <> hi AND small")
+        .select("g")
+    )
+    return state.join(active, "g", "left_semi")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sketches do not rule out."""
+    of = lambda x, c: nodes.select(F.col("node").alias(x), F.col("c1").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    return written(
+        pairs.join(of("a", "ca"), ["a", "ca"])
+        .join(of("b", "cb"), ["b", "cb"])
+        .select("a", "ca", "b", "cb", "n_a", "n_b", "s_a", "s_b")
+        .mapInArrow(_sieve(percent), "a long, ca long, b long, cb long"),
+        "ngram-likely",
+    )
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _one_node_per_id(sets: DataFrame, nodes: DataFrame, found: DataFrame | None) -> tuple[DataFrame | None, bool]:
+    """Components with the ids that have several texts linked to each text's node, and
+    whether there are such ids."""
+    several = (
+        sets.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)])
+        .where("min_c1 <> max_c1 OR min_c2 <> max_c2")
+        .select("doc_id")
     )
+    several = written(several, "ngram-several")
+    if several.isEmpty():
+        return found, False
+    own = sets.where("n > 0").join(several, "doc_id").select("doc_id", "c1", "c2").distinct()
+    links = own.join(nodes, ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    if found is not None:
+        links = links.unionByName(_edges(found))
+    return written(components(links), "ngram-components"), True
 
 
 def _surrogates(sets: DataFrame, reps: DataFrame) -> DataFrame | None:
@@ -564,18 +722,15 @@ def _links(base: DataFrame, pairs: DataFrame, n: int, percent: int, unnamed: Dat
     )
     left = texts.select(F.col("doc_id").alias("a"), F.col("c1").alias("ca"), F.col("blob").alias("x"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("c1").alias("cb"), F.col("blob").alias("y"))
-    return (
+    linked = written(
         pairs.join(left, ["a", "ca"])
         .join(right, ["b", "cb"])
         .select("a", "b", "x", "y")
-        .mapInArrow(_verify(percent), "a long, b long")
+        .mapInArrow(_verify(percent), "a long, b long"),
+        "ngram-links",
     )
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("g").orderBy("node", "c1")
+    discard(pairs, ends, texts)
+    return linked
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -32,4 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     result has a plain exchange on each side, which adaptive execution can split."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the folders of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_quarry_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -57,6 +57,36 @@ def rolling_hash(h: np.ndarray, width: int) -> np.ndarray:
     return mix((h[width:] - h[:n]) * _power(_INVERSE, n)) if n > 0 else np.zeros(0, _U)
 
 
+#: Bytes of a span that are hashed one block after the other; longer spans are hashed in
+#: pieces of this length, and then the pieces' hashes.
+SPAN_PIECE = 4096
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+_STEP = _U(0xD6E8FEB86659FD93)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes [start, end) of each span, wherever they stand. Eight bytes
+    at a time go through a mixing chain that starts from the length."""
+    length = end - start
+    h = mix(length.astype(_U) * _U(_BASE) + _U(seed))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    for k in np.flatnonzero(length > SPAN_PIECE).tolist():
+        at = np.arange(int(start[k]), int(end[k]), SPAN_PIECE)
+        part = hash_spans(data, at, np.minimum(at + SPAN_PIECE, int(end[k])), seed).view(np.uint8)
+        h[k] ^= hash_spans(part, np.array([0]), np.array([len(part)]), seed)[0]
+    live = np.flatnonzero((length > 0) & (length <= SPAN_PIECE))
+    at, left, now = start[live], length[live], h[live]
+    while len(live):
+        now = mix((now ^ (eight[at] & _KEEP[np.minimum(left, 8)])) * _STEP + _U(_BASE))
+        at, left = at + 8, left - 8
+        over = left <= 0
+        if over.any():
+            h[live[over]] = now[over]
+            live, at, left, now = live[~over], at[~over], left[~over], now[~over]
+    return h
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets) of a string array without a copy; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -126,5 +156,5 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, loose: bool = False) -> tu
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word with A-Z lower-cased, number of its text)."""
     start, end = word_spans(data, offsets)
-    hashes = span_hash(prefix_hash(_LOWER[data]), start, end)
+    hashes = hash_spans(_LOWER[data], start, end)
     return hashes, np.searchsorted(offsets, start, side="right") - 1

@@ -7,7 +7,7 @@ import pytest
 
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.line_dedup import line_dedup
-from quarry.llm.ngram_join import Bands, keep_one_of_each, ngram_components, signatures
+from quarry.llm.ngram_join import Bands, Frequent, keep_one_of_each, ngram_components, signatures, sketch, sketch_differences
 from quarry.llm.suffix_dedup import merge_spans, suffix_dedup
 
 ROWS = [(1, "a b"), (2, "a b"), (3, "a  b"), (4, None), (5, ""), (6, "x" * 300 + "1"), (7, "x" * 300 + "2"),
@@ -157,14 +157,66 @@ def test_every_link_has_a_common_signature():
         for _ in range(25):
             a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, rng.choice([6, 30, 300])))).astype(np.uint64))
             sets += [a, *(x for x in (a[rng.random(len(a)) > p] for p in (0.05, 0.15, 0.24)) if len(x))]
-        sig, own = signatures(sets, bands)
-        of = [set(sig[own == k].tolist()) for k in range(len(sets))]
+        flat = np.concatenate(sets)
+        often = Frequent(*np.unique(rng.choice(flat, len(flat) // 4), return_counts=True))
+        deletion = frozenset(np.flatnonzero(bands.worst == 1).tolist()) if rng.random() < 0.5 else frozenset()
+        sig, own, step = signatures(sets, bands, deletion, often)
+        of = [dict(zip(sig[own == k].tolist(), step[own == k].tolist(), strict=True)) for k in range(len(sets))]
         for i, x in enumerate(sets):
             for j in range(i):
                 n = len(np.intersect1d(x, sets[j]))
                 same = n == len(x) == len(sets[j])
                 if not same and 100 * n >= 75 * (len(x) + len(sets[j]) - n):
-                    assert of[i] & of[j]
+                    common = of[i].keys() & of[j].keys()
+                    left = [min(bands.left(of[i][c], len(x)), bands.left(of[j][c], len(sets[j]))) for c in common]
+                    assert max(left) >= bands.overlap(len(x) + len(sets[j]))
+                    small, steps = (x, of[i]) if len(x) <= len(sets[j]) else (sets[j], of[j])
+                    assert any(bands.may_be_smaller(bands.left(steps[c], len(small)), len(small)) for c in common)
+
+
+def test_sketches_bound_the_differences():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    a = [np.unique(rng.integers(0, 400, int(rng.integers(1, 300)))).astype(np.uint64) for _ in range(60)]
+    b = [x[rng.random(len(x)) > 0.1] if k % 2 else a[k - 1] for k, x in enumerate(a)]
+    b = [x if len(x) else a[0] for x in b]
+    got = sketch_differences(*(pa.array([sketch(s) for s in x], pa.binary()) for x in (a, b)))
+    want = np.array([len(np.setxor1d(x, y)) for x, y in zip(a, b, strict=True)])
+    assert (got <= want).all() and (got[want <= 2] == want[want <= 2]).mean() > 0.8
+
+
+def test_components_of_short_texts(make):
+    rows = [(1, "hello"), (2, "a b"), (3, "hello"), (4, "A  B"), (5, "c"), (6, "a b c d e")]
+    assert sorted(tuple(x) for x in ngram_components(make(rows)).collect()) == brute_components(rows)
+
+
+def test_components_null_id_between(make):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_components(make([(7, near(1)), (None, near(2)), (9, near(3))])).collect()}
+    assert got == {(7, 7), (None, 7), (9, 7)}
+
+
+def test_components_of_an_id_with_unlike_texts(make):
+    r = random.Random(10)
+    a, b = (" ".join(f"{x}{r.random()}" for _ in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (5, ""), (2, b), (8, a.rsplit(" ", 1)[0] + " end"), (6, None), (6, None)]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_components(make(rows)).collect()}
+    assert got == {(5, 2), (2, 2), (8, 2), (6, 6)}
+
+
+def test_components_of_very_long_words(make):
+    """Words of two letters whose places follow the Thue-Morse sequence have one hash
+    under every polynomial modulo a power of two."""
+    tm = ["a"]
+    while len(tm[0]) < 2048:
+        tm[0] += tm[0].translate(str.maketrans("ab", "ba"))
+    one, two = tm[0][:1024], tm[0][:1024].translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, "x" * 300_000), (4, "x" * 300_000), (5, "x" * 299_999 + "y")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_components(make(rows)).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 5)}
 
 
 def brute_bytes(rows, window):
