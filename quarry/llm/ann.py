@@ -116,24 +116,54 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query number, ids, distances) of each query's k nearest among x: a matrix product
-    narrows to all that may be among them, exact differences decide, ties to smaller ids."""
+    """(query number, row numbers, distances) of each query's nearest rows of x, up to the
+    one that brings the k-th distinct id, of an id no more than k: a matrix product narrows
+    to all that may be among them, exact differences decide, ties to smaller ids."""
     norm = (x * x).sum(1)
     for a in range(0, len(q), 256):
         part = q[a : a + 256]
         own = (part * part).sum(1)
         d = norm[None, :] - 2 * part @ x.T + own[:, None]
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else d.max(axis=1)
         slack = 1e-9 * (own + norm.max())
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else d.max(axis=1)
         for i in range(len(part)):
-            at = np.flatnonzero(d[i] <= kth[i] + slack[i])
-            exact = np.sqrt(((x[at] - part[i]) ** 2).sum(1))
-            order = np.lexsort((ids[at], exact))[:k]
-            yield a + i, ids[at][order], exact[order]
-
-
-def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(vec_id, v, k1, k2) of the rows that take part, and the dimension: that of most rows."""
+            most, bound = k, kth[i]
+            while True:
+                at = np.flatnonzero(d[i] <= bound + slack[i])
+                exact = np.sqrt(((x[at] - part[i]) ** 2).sum(1))
+                order = np.lexsort((ids[at], exact))
+                new = np.unique(ids[at][order], return_index=True)[1]
+                if len(new) >= k or len(at) == len(x):
+                    break
+                most = min(4 * most, len(x))
+                bound = np.partition(d[i], most - 1)[most - 1]
+            if len(new) >= k:
+                order = order[: np.sort(new)[k - 1] + 1]
+            if len(order) > k:
+                row = ids[at][order]
+                by = np.argsort(row, kind="stable")
+                first = np.flatnonzero(np.append(True, row[by][1:] != row[by][:-1]))
+                nth = np.empty(len(row), np.int64)
+                nth[by] = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+                order = order[nth < k]
+            yield a + i, at[order], exact[order]
+
+
+def _first_ids(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first rows of each group up to the one that brings the k-th distinct id, of an id
+    no more than k. What is left when an id is taken away are the first k - 1 rows or more.
+    The first two cuts are made before the shuffle too, so no task holds a large group."""
+    own = Window.partitionBy(*by, "vec_id").orderBy(*order)
+    run = Window.partitionBy(*by).orderBy(*order, "vec_id", "_nth")
+    few = df.withColumn("_nth", F.row_number().over(own)).where(F.col("_nth") <= k)
+    near = few.withColumn("_r", F.row_number().over(run)).where(F.col("_r") <= k * k)
+    ids = F.sum((F.col("_nth") == 1).cast("int")).over(run)
+    return near.withColumn("_r", ids).where(F.col("_r") <= k).drop("_nth", "_r")
+
+
+def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int = 0) -> tuple[DataFrame, int]:
+    """(vec_id, v, k1, k2) of the rows that take part, and the dimension: ``dim``, or that of
+    most rows."""
     v = F.col(vector_col).cast("array<double>")
     usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull()
@@ -141,13 +171,15 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Dat
         & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         & F.exists("v", lambda c: c != 0)
     )
-    dims = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if dims is None:
+    if not dim:
+        most = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+        dim = most["d"] if most else 0
+    if not dim:
         return usable.select("vec_id", "v", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")), 0
     # 0.0 and -0.0 are one value
     same = F.transform("v", lambda c: c + F.lit(0.0))
-    ready = usable.where(F.size("v") == dims["d"]).select("vec_id", same.alias("v"))
-    return ready.select("vec_id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")), dims["d"]
+    ready = usable.where(F.size("v") == dim).select("vec_id", same.alias("v"))
+    return ready.select("vec_id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")), dim
 
 
 NONE = "query_id long, rank int, vec_id long, score double"
@@ -169,24 +201,20 @@ def ann_search(
     distance, its own id left out, ties to the smaller id.
 
     Null, zero and non-finite vectors, null ids and vectors of another dimension than
-    that of most rows take no part, as queries or as candidates. Of equal vectors only the
-    k + 1 smallest ids can be among any query's k nearest, so only these are compared, and
-    queries with equal vectors are searched once; both are exact. If a query's leaves hold
-    too few vectors it visits more, down to all. Rows that repeat an id are candidates
-    each. An empty table gives an empty result; other columns are not read.
+    that of most of the table's rows take no part, as queries or as candidates. Rows that
+    repeat an id are candidates each, for queries of other ids; as queries they are asked
+    and ranked once for each distinct vector. Of equal vectors only the
+    k + 1 smallest ids, and k rows of each, can be among any query's k nearest, so only
+    these are compared, and queries with equal vectors are searched once; both are exact.
+    If a query's leaves hold too few ids it visits more, down to all. An empty table gives
+    an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     ready, dim = valid_vectors(vectors, id_col, vector_col)
     if not dim:
         return spark.createDataFrame([], NONE)
-    asked, q_dim = valid_vectors(queries, id_col, vector_col)
-    if q_dim != dim:
-        return spark.createDataFrame([], NONE)
-    asked = written(asked, "ann-queries")
-    same = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    points = written(
-        ready.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1).select("vec_id", "v"), "ann-points"
-    )
+    asked = written(valid_vectors(queries, id_col, vector_col, dim)[0], "ann-queries")
+    points = written(_first_ids(ready, ["k1", "k2"], ["vec_id"], k + 1).select("vec_id", "v"), "ann-points")
     total = points.count()
     drawn = points.orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id").limit(sample).select("v").toArrow()
     x = _matrix(drawn.column("v"), dim)
@@ -201,8 +229,10 @@ def ann_search(
 
     placed = written(points.mapInArrow(to_leaves, "leaf long, vec_id long, v array<double>"), "ann-placed")
     held = np.zeros(tree.n_leaves, np.int64)
-    for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+    ids_held = np.zeros(tree.n_leaves, np.int64)  # fewer than there are, if ids repeat
+    for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.approx_count_distinct("vec_id").alias("d")).collect():
         held[r["leaf"]] = r["n"]
+        ids_held[r["leaf"]] = min(r["n"], r["d"] * 3 // 4 + (r["d"] > 0))
     visits = calibrate(placed, asked, tree, dim, k, recall, calibration_queries)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +247,7 @@ def ann_search(
                     leaves.append(leaf)
                     row.append(i)
                     n += 1
-                    seen += int(held[leaf])
+                    seen += int(ids_held[leaf])
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(leaves, pa.int64()), *(b.column(j).take(at) for j in range(3))], names=["leaf", "k1", "k2", "v"]
@@ -253,7 +283,7 @@ def ann_search(
         at = pa.array(row)
         return pa.table(
             [wanted.column("k1").take(at), wanted.column("k2").take(at),
-             pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))],
+             pa.array(ids[np.concatenate([f[1] for f in found])]), pa.array(np.concatenate([f[2] for f in found]))],
             names=names,
         )
 
@@ -262,10 +292,7 @@ def ann_search(
         .cogroup(right.groupBy("leaf", "b", "qb"))
         .applyInArrow(compare, "k1 long, k2 long, vec_id long, score double")
     )
-    best = Window.partitionBy("k1", "k2").orderBy("score", "vec_id")
-    short = written(
-        hits.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r"), "ann-short"
-    )
+    short = written(_first_ids(hits, ["k1", "k2"], ["score"], k + 1), "ann-short")
     own = Window.partitionBy("query_id", "k1", "k2").orderBy("score", "vec_id")
     return (
         asked.select(F.col("vec_id").alias("query_id"), "k1", "k2")
@@ -291,9 +318,8 @@ def calibrate(placed: DataFrame, asked: DataFrame, tree: Tree, dim: int, k: int,
             if not b.num_rows:
                 continue
             leaf = b.column(0).to_numpy()
-            place = np.arange(b.num_rows)
             ids = b.column(1).to_numpy()
-            for i, at, d in nearest(q, _matrix(b.column(2), dim), place, k + 1):
+            for i, at, d in nearest(q, _matrix(b.column(2), dim), ids, k + 1):
                 keep = ids[at] != own[i]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(keep.sum(), i, np.int32)), pa.array(leaf[at][keep]), pa.array(d[keep])],

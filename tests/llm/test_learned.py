@@ -53,6 +53,25 @@ def test_few_candidates(spark):
     assert ann_search(none, none).count() == 0
 
 
+def test_neighbours_among_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    want = brute_neighbours(rows * 2, [0, 7])
+    assert run(spark, rows * 2, [0, 7], recall=1.0, leaf_rows=10) == {q: want[q] for q in want}
+    assert len(want[0]) == 10
+    many = rows[:40] + rows[:1] * 11 + [(3, rng.normal(size=4).tolist()) for _ in range(30)]
+    for how in ({}, {"leaf_rows": 5, "block_rows": 7}):
+        assert run(spark, many, [0], recall=1.0, **how) == brute_neighbours(many, [0])
+    assert run(spark, rows[:1] * 5 + rows[1:2] * 30, [0], recall=1.0) == brute_neighbours(rows[:1] + rows[1:2] * 30, [0])
+
+
+def test_queries_of_another_dimension(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2 if i in (100, 200) else 4).tolist()) for i in range(300)]
+    want = brute_neighbours([r for r in rows if r[0] not in (100, 200)], [0])
+    assert run(spark, rows, [0, 100, 200], recall=1.0) == want
+
+
 def test_best_bins_visit_each_leaf_once():
     x = np.random.default_rng(1).normal(size=(500, 4))
     tree = fit_tree(x, 20)
