@@ -65,31 +65,38 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines are what stands between line feeds; they are compared as they are. The first
     occurrence of a window is the one with the smallest (id, line number) and stays, as
     do windows of blank lines only and documents under three lines. Null texts stay null
-    with n_lines 0; an empty text is one line. Rows that repeat an id count as one
-    document in finding first occurrences, and rows with a null id come first and are
-    never cut. An empty table gives an empty result.
+    with n_lines 0; an empty text is one line. Rows that repeat an id with one text count
+    as one document; with unlike texts they are documents of their own, in the order of
+    their texts' hash. Rows with a null id come first and are never cut. An empty table
+    gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("_id"), _window_hashes(F.col(text_col)).alias("_w"))
-    windows = base.where(F.col("_w").isNotNull()).select("_id", F.inline("_w"))
+    digest = F.xxhash64(F.col(text_col).cast("string"))
+    base = docs.select(F.col(id_col).alias("_id"), digest.alias("_h"), _window_hashes(F.col(text_col)).alias("_w"))
+    windows = base.where(F.col("_w").isNotNull()).select("_id", "_h", F.inline("_w"))
     repeated = written(
         windows.groupBy("h1", "h2")
-        .agg(F.count("*").alias("_n"), F.min(F.struct("_id", "pos")).alias("_first"))
+        .agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_h", "pos")).alias("_first"))
         .where("_n > 1")
-        .select("h1", "h2", F.col("_first._id").alias("_fid"), F.col("_first.pos").alias("_fpos")),
+        .select(
+            "h1", "h2", F.col("_first._id").alias("_fid"), F.col("_first._h").alias("_fh"), F.col("_first.pos").alias("_fpos")
+        ),
         "line-windows",
     )
     later = (
         windows.where(F.col("_id").isNotNull())
         .join(repeated, ["h1", "h2"])
-        .where(~(F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("pos") == F.col("_fpos"))))
+        .where(
+            ~(F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_h") == F.col("_fh")) & (F.col("pos") == F.col("_fpos")))
+        )
     )
     covered = written(
-        later.groupBy("_id").agg(F.sort_array(F.collect_set("pos")).alias("_starts")), "line-covered"
+        later.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("pos")).alias("_starts")), "line-covered"
     )
     rows = docs.select(F.struct(*docs.columns).alias("r"))  # the input's names clash with none here
     text = F.col("r")[text_col].cast("string")
     cut = _with(_lines(text), lambda ls: F.struct(F.size(ls).alias("n"), _kept(ls, F.col("_starts")).alias("k")))
-    joined = rows.join(covered, F.col("r")[id_col] == F.col("_id"), "left").withColumn(
+    own = (F.col("r")[id_col] == F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
+    joined = rows.join(covered, own, "left").withColumn(
         "_cut", F.when(F.col("_starts").isNotNull(), cut)
     )
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(

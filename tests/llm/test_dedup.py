@@ -64,6 +64,15 @@ def test_lines_repeated_rows_and_null_ids(make):
     assert got.count() == 3
 
 
+def test_lines_of_an_id_with_unlike_texts(make):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "x\ny\nz"), (2, "a\nb\nc"), (3, "q\nx\ny\nz")]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup(make(rows)).collect())
+    assert got == [(1, "a\nb\nc", 0), (2, "", 3), (2, "", 3), (2, "x\ny\nz", 0), (3, "q", 3)]
+    # the same passage twice under one id, in unlike texts: one of them stays
+    got = line_dedup(make([(4, "a\nb\nc\nd"), (4, "a\nb\nc\ne")])).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 3]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     if len(w) < 5:
