@@ -69,129 +69,119 @@ def _time(share: Column, place: Column, slopes) -> Column:
     return F.when(F.abs(s) < 1e-9, share).otherwise(F.abs(root - (1 - s)) / F.abs(2 * s))
 
 
-def mix_plan(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights=WEIGHTS,
-    max_passes: int = MAX_PASSES,
-    slopes=SLOPES,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, full, part, position.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """Rows (doc_id, source, size, _ord, _tie) and ``more``: ``_ord`` orders a source's rows
+    by the hash of their id, or of their text where the id is null."""
+    ident, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
+    tie = F.xxhash64(text)
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        n_words(F.col(text_col)).alias("size"),
+        F.md5(F.coalesce(ident, F.concat(F.lit("null "), tie.cast("string"))).cast("binary")).alias("_ord"),
+        tie.alias("_tie"),
+        *more,
+    )
 
-    ``taken`` words are ``full`` whole copies and ``part`` words of one more. Documents of
-    a source stand in the order of the MD5 of their id; whole passes are taken first and
-    the rest from the start of that order, the last document in part, so a source's taken
-    words miss its target by less than one. ``position`` is the time of the first copy,
-    null if none is taken. The order depends on ids alone, so reruns agree.
 
-    A null text has size 0 and is taken 0 times. A null source is a source of its own.
-    Rows that repeat an id are ordered by their size, which leaves the result the same
-    whichever of equal rows comes first. An empty table gives an empty result; if all sizes
-    are 0, targets are 0.
+def _planned(rows: DataFrame, slim: DataFrame, weights, max_passes: int, block_rows: int) -> DataFrame:
+    """``rows`` of ``_keyed`` with source_size, place, target, full, part, taken and ``at``,
+    the words of the source before the row. ``slim`` are the same rows' (source, size, _ord).
 
     Running sums are made in two levels: within (source, block of the order) and over the
-    sums of blocks, so no task holds a source.
+    sums of blocks, so no task holds a source. Rows are dealt once, by source and block.
     """
-    sized = written(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_ord"),
-        ),
-        "mix-sizes",
-    )
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(by_source.drop("_rows"), weights, max_passes)
     most = by_source.agg(F.max("_rows").alias("m")).first()["m"] or 0
     blocks = most / max(block_rows, math.sqrt(most))
     digits = min(8, math.ceil(math.log(blocks, 16))) if blocks > 1 else 0
-    blocked = sized.withColumn("_block", F.substring("_ord", 1, digits) if digits else F.lit(""))
-    block_sums = blocked.groupBy("source", "_block").agg(F.sum("size").alias("_bsize"))
-    before_block = (
-        Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # null sources under a name of their own, so that keys compare by plain equality
+    name = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("_src")
+    block = (F.substring("_ord", 1, digits) if digits else F.lit("")).alias("_block")
+    block_sums = slim.select("source", name, block, "size").groupBy("source", "_src", "_block").agg(F.sum("size").alias("_bsize"))
+    before_block = Window.partitionBy("_src").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = block_sums.select(
-        "source", "_block", F.coalesce(F.sum("_bsize").over(before_block), F.lit(0)).alias("_start")
-    )
-    within = (
-        Window.partitionBy("source", "_block")
-        .orderBy("_ord", "size", F.col("doc_id"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        "source", "_src", "_block", F.coalesce(F.sum("_bsize").over(before_block), F.lit(0)).alias("_start")
     )
-    ordered = blocked.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     facts = written(
         starts.alias("b")
         .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-        .select("b.source", "_block", "_start", "source_size", "place", "target"),
+        .select("_src", "_block", "_start", "source_size", "place", "target"),
         "mix-blocks",
     )
-    joined = ordered.alias("d").join(
-        facts.alias("f"),
-        F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d._block") == F.col("f._block")),
+    within = (
+        Window.partitionBy("_src", "_block")
+        .orderBy("_ord", "size", "doc_id", "_tie")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    ordered = rows.select("*", name, block).withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     passes = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
-    rest = F.floor(F.col("target") - F.col("_passes") * F.col("source_size"))
-    at = F.col("_start") + F.col("_in")
-    share = F.least(at / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0))
+    rest = F.floor(F.col("target") - F.col("full") * F.col("source_size"))
     return (
-        joined.withColumn("_passes", F.coalesce(passes, F.lit(0)).cast("long"))
-        .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - at)).cast("long"))
-        .withColumn("taken", F.col("_passes") * F.col("size") + F.col("part"))
-        .select(
-            "doc_id",
-            F.col("d.source").alias("source"),
-            "size",
-            "source_size",
-            "target",
-            "taken",
-            F.col("_passes").alias("full"),
-            "part",
-            at.alias("at"),
-            "place",
-            F.when(F.col("taken") > 0, _time(share, F.col("place"), slopes)).alias("position"),
-        )
+        ordered.join(facts, ["_src", "_block"])
+        .withColumn("at", F.col("_start") + F.col("_in"))
+        .withColumn("full", F.coalesce(passes, F.lit(0)).cast("long"))
+        .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at"))).cast("long"))
+        .withColumn("taken", F.col("full") * F.col("size") + F.col("part"))
+        .drop("_src", "_block", "_start", "_in", "_ord", "_tie")
     )
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", slopes=SLOPES, **plan) -> DataFrame:
+def mix_plan(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    max_passes: int = MAX_PASSES,
+    slopes=SLOPES,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, full, part, position.
+
+    ``taken`` words are ``full`` whole copies and ``part`` words of one more. Documents of
+    a source stand in the order of the MD5 of their id; whole passes are taken first and
+    the rest from the start of that order, the last document in part, so a source's taken
+    words miss its target by less than one. ``position`` is the time of the first copy,
+    null if none is taken. The order depends on ids alone, so reruns agree.
+
+    A null text has size 0 and is taken 0 times. A null source is a source of its own. Rows
+    that repeat an id are documents of their own, ordered by size and then by their text's
+    hash; rows with a null id stand in the order of the MD5 of their text's hash. An empty
+    table gives an empty result; if all sizes are 0, targets are 0.
+    """
+    sized = written(_keyed(docs, id_col, text_col, source_col), "mix-sizes")
+    share = F.least(F.col("at") / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0))
+    return _planned(sized, sized, weights, max_passes, block_rows).select(
+        "doc_id", "source", "size", "source_size", "target", "taken", "full", "part", "at", "place",
+        F.when(F.col("taken") > 0, _time(share, F.col("place"), slopes)).alias("position"),
+    )
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    max_passes: int = MAX_PASSES,
+    slopes=SLOPES,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """The mix itself: the input's rows, one per copy taken, in training order. The copy
     that is taken in part holds the document's first ``part`` words with what stands
     between them. Columns are those of the input and ``position``, by which the rows are
     range-partitioned and sorted. A document's copies keep its text otherwise untouched.
 
-    Rows that repeat an id follow the first of them. Rows with a null id are documents of
-    their own: each follows a plan row of its source and size, those of equal source and
-    size in the order of their texts' hash. A null source is a source of its own."""
-    facts = F.struct("at", "size", "source_size", "target", "full", "part", "place")
-    taken = mix_plan(docs, id_col, text_col, source_col, slopes=slopes, **plan).where("taken > 0")
-    rows = (
-        taken.groupBy("doc_id")
-        .agg(F.min(facts).alias("_p"))  # rows that repeat an id follow the first of them
-        .select("doc_id", "_p.*")
-    )
-    whole = docs.select(F.struct(*docs.columns).alias("r"))  # the input's names clash with none here
+    Every input row follows its own row of ``mix_plan``, with which it travels: rows that
+    repeat an id, rows with a null id and rows with a null source too."""
+    whole = F.struct(*docs.columns).alias("r")  # the input's names clash with none here
+    slim = written(_keyed(docs, id_col, text_col, source_col).select("source", "size", "_ord"), "mix-sizes")
+    planned = _planned(_keyed(docs, id_col, text_col, source_col, whole), slim, weights, max_passes, block_rows)
     text = F.col("r")[text_col]
-    joined = whole.join(rows, F.col("r")[id_col] == F.col("doc_id")).drop("doc_id")
-    unnamed = F.col(id_col).cast("long").isNull()
-    if not docs.where(unnamed).isEmpty():
-        nth = lambda *by: F.row_number().over(Window.partitionBy("_source", "_size").orderBy(*by))
-        planned = (
-            taken.where("doc_id IS NULL")
-            .select(F.col("source").alias("_source"), F.col("size").alias("_size"), facts.alias("_f"))
-            .select(F.col("_source").alias("_s"), F.col("_size").alias("_n"), nth("_f.at").alias("_k"), "_f.*")
-        )
-        loose = docs.where(unnamed).select(F.struct(*docs.columns).alias("r")).select(
-            "r", F.col("r")[source_col].cast("string").alias("_source"), n_words(text).alias("_size")
-        )
-        loose = loose.withColumn("_nth", nth(F.xxhash64(text.cast("string")), text))
-        same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & (F.col("_nth") == F.col("_k"))
-        joined = joined.unionByName(loose.join(planned, same).drop("_source", "_size", "_nth", "_s", "_n", "_k"))
     copies = F.sequence(F.lit(0), (F.col("full") + (F.col("part") > 0).cast("long") - 1).cast("int"))
-    several = joined.withColumn("copy", F.explode(copies))
+    several = planned.where("taken > 0").withColumn("copy", F.explode(copies))
     share = F.least((F.col("copy") * F.col("source_size") + F.col("at")) / F.col("target"), F.lit(1.0))
     lead = F.regexp_extract(text, r"^([\x20\x09-\x0D]*)", 1)
     words = F.regexp_extract_all(text, F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), 1)

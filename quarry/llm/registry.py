@@ -38,7 +38,9 @@ def op3_exact_dedup(spark, d):
 def op4_mixing(spark, d):
     plan = mix_plan(table(spark, d, "documents"))
     ordered = plan.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
-    return ordered.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return ordered.select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position")
+    )
 
 
 def op5_ngram_jaccard(spark, d):
@@ -100,15 +102,17 @@ p AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS plac
 w AS (SELECT *, [5.0, 2.0, 1.0][place + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM p),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv
       FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT source, source_size, CASE WHEN cap <= w * lv THEN cap
+f AS (SELECT source, source_size, [-0.5, 0.0, 0.5][place + 1]::DOUBLE AS slope, CASE WHEN cap <= w * lv THEN cap
       ELSE w * max(CASE WHEN cap > w * lv THEN lv END) OVER () END AS target FROM l),
-d AS (SELECT s.doc_id, s.size, f.source_size, f.target,
+d AS (SELECT s.doc_id, s.size, f.source_size, f.target, f.slope,
       coalesce(floor(f.target / nullif(f.source_size, 0)), 0)::BIGINT AS full_,
       coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY o, s.size, s.doc_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-  (full_ * size + greatest(0, least(size, floor(target - full_ * source_size)::BIGINT - before)))::BIGINT AS taken FROM d""",
+      FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source),
+e AS (SELECT *, least(before / nullif(target, 0), 1.0) AS share,
+  (full_ * size + greatest(0, least(size, floor(target - full_ * source_size)::BIGINT - before)))::BIGINT AS taken FROM d)
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken, round(CASE WHEN taken = 0 THEN NULL WHEN slope = 0 THEN share
+  ELSE abs(sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / abs(2 * slope) END, 9) AS position FROM e""",
     "op5_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -64,6 +64,19 @@ def test_mix_edges(make):
     assert mix_plan(make([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])).count() == 3
 
 
+def test_mix_follows_each_row_of_a_repeated_id(make):
+    rows = [(None, "a b c d", "s"), (1, "e f g", "s"), (2, "h i j k l m", "s"), (2, "n o", "s"), (3, "p " * 9, "t"), (3, "p " * 9, "t")]
+    plan = mix_plan(make(rows)).toPandas()
+    out = mix(make(rows)).toPandas()
+    assert plan.taken.sum() == len(" ".join(out.text).split())
+    got = {i: sorted(len(t.split()) for t in part.text) for i, part in out.groupby("doc_id", dropna=False)}
+    want = {}
+    for p in plan.itertuples():
+        copies = [p.size] * p.full + [p.part] * (p.part > 0)
+        want[p.doc_id] = sorted(want.get(p.doc_id, []) + copies)
+    assert {str(k): v for k, v in got.items()} == {str(k): v for k, v in want.items() if v}
+
+
 def test_mix_keeps_rows_with_a_null_id(make):
     r = random.Random(8)
     rows = [(None, f"n{i} " + "x " * r.choice([4, 9, 9, 30]), r.choice(["a", "b", None])) for i in range(40)]
