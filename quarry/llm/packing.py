@@ -8,6 +8,7 @@ of documents are taken in descending length; each goes to the sequence of lowest
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -54,9 +55,30 @@ for _a, _b in ((33, 48), (58, 65), (91, 97), (123, 127)):
 _PUNCT[39] = False  # an apostrophe may belong to the letters behind it
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-#: The split pattern of the vocabulary file, a fixed value.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Longest piece, in bytes, that is remembered.
+CACHED_BYTES = 256
+
+
+def _splits_as_known(file: dict) -> bool:
+    """Does a vocabulary file normalise and split as ``WordTokenizer`` does by itself?
+    The split pattern and the special tokens may be any that keep its places to cut."""
+    normalizer, split, model = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}, file["model"]
+    steps = split.get("pretokenizers") or [{}, {}]
+    return (
+        [x.get("type") for x in normalizer.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and normalizer["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        and normalizer["normalizers"][1]["content"] == " "
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+        and not steps[1]["add_prefix_space"]
+        and not steps[1]["use_regex"]
+        and file.get("truncation") is None
+        and file.get("padding") is None
+        and model.get("type") == "BPE"
+        and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+        and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in file["added_tokens"])
+    )
 
 
 class WordTokenizer:
@@ -64,9 +86,11 @@ class WordTokenizer:
 
     The vocabulary drops white space and splits between letters and punctuation before it
     merges, so a text may be cut at white space and where an ASCII or Latin-1 letter meets
-    ASCII punctuation, but for the apostrophe. Pieces are known by a 64-bit hash of their
+    ASCII punctuation, but for the apostrophe. Pieces are found by a 64-bit hash of their
     bytes with A-Z in lower case, in an open-addressing table that numpy probes for a whole
-    step of texts at once. A text that holds a special token's string is encoded whole.
+    step of texts at once; the bytes themselves are compared then. Texts with a special
+    token's string, and all texts under a file that normalises or splits otherwise, are
+    encoded whole by the library.
     """
 
     def __init__(self, path: str, most: int = CACHE_PIECES):
@@ -74,7 +98,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.split = regex.compile(_PATTERN)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.by_piece = _splits_as_known(file)
+        self.special = [x["content"].encode() for x in file.get("added_tokens", [])]
+        if self.by_piece:
+            self.split = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.unusual = regex.compile("[\x85\xa0\u0250-\U0010ffff]").search
         self.letters = _byte_letters()
         self.merge = self.model.model.tokenize
@@ -86,6 +115,8 @@ class WordTokenizer:
         self.slots = np.zeros(self.mask + 1, np.int32)
         self.ids = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(most + 1, np.int64)
+        self.bytes = np.zeros(1 << 20, np.uint8)
+        self.byte_ends = np.zeros(most + 1, np.int64)
         self.count = 0
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -113,17 +144,17 @@ class WordTokenizer:
             at[left] = (at[left] + np.uint64(1)) & np.uint64(self.mask)
         return out
 
-    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, h: np.ndarray, pieces: list[bytes], lower: list[bytes]) -> None:
         flat: list[int] = []
         ends = []
         for piece in pieces:
-            flat += self.piece_ids(piece)
+            flat += self.piece_ids(piece.decode())
             ends.append(len(flat))
-        used = int(self.ends[self.count])
-        if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
-        self.ids[used : used + len(flat)] = flat
-        self.ends[self.count + 1 : self.count + 1 + len(h)] = np.array(ends, np.int64) + used
+        a, z = self.count, self.count + len(h)
+        self.ids = _append(self.ids, int(self.ends[a]), np.array(flat, np.uint32))
+        self.ends[a + 1 : z + 1] = np.array(ends, np.int64) + self.ends[a]
+        self.bytes = _append(self.bytes, int(self.byte_ends[a]), np.frombuffer(b"".join(lower), np.uint8))
+        self.byte_ends[a + 1 : z + 1] = np.cumsum([len(x) for x in lower]) + self.byte_ends[a]
         at = (h & np.uint64(self.mask)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):  # claim free slots; of several claims to one the first succeeds
@@ -140,27 +171,53 @@ class WordTokenizer:
         """(ids of all texts one after the other, offsets)."""
         data, offsets = K.bytes_of(texts)
         raw = data.tobytes()
-        if any(x.encode() in raw for x in SPECIAL):
+        if not self.by_piece or any(x in raw for x in self.special):
             whole = [e.ids for e in self.model.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             lengths = np.array([0, *map(len, whole)])
             return np.array([i for x in whole for i in x], np.uint32), np.cumsum(lengths)
         start, end = pieces_of(data, offsets)
-        h = K.span_hash(K.prefix_hash(K.ascii_lower(data)), start, end) | np.uint64(1)
+        low = K.ascii_lower(data)
+        h = K.hash_spans(low, start, end) | np.uint64(1)
+        short = end - start <= CACHED_BYTES
         entry = self._find(h)
-        unknown = np.flatnonzero(entry < 0)
+        unknown = np.flatnonzero((entry < 0) & short)
         if len(unknown):
             fresh, first = np.unique(h[unknown], return_index=True)
             if self.count + len(fresh) > self.most:
-                unknown = np.arange(len(h))
-                fresh, first = np.unique(h, return_index=True)
+                entry[:] = -1
+                unknown = np.flatnonzero(short)
+                fresh, first = np.unique(h[unknown], return_index=True)
                 self._reset(max(self.most, len(fresh)))
             where = unknown[first]
-            self._learn(fresh, [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            spans = list(zip(start[where].tolist(), end[where].tolist(), strict=True))
+            small = low.tobytes()
+            self._learn(fresh, [raw[a:b] for a, b in spans], [small[a:b] for a, b in spans])
             entry[unknown] = self._find(h[unknown])
+        entry[~short] = -1
         begin, count = self.ends[entry], self.ends[entry + 1] - self.ends[entry]
+        size = end - start
+        known = (entry >= 0) & (self.byte_ends[entry + 1] - self.byte_ends[entry] == size)
+        at = np.flatnonzero(known)
+        known[at] = K.same_spans(low, start[at], self.bytes, self.byte_ends[entry[at]], size[at])
+        ids = self.ids
+        if not known.all():  # long pieces, and such as only share a hash with one in the table
+            used = int(self.ends[self.count])
+            alone = np.flatnonzero(~known)
+            own = [self.piece_ids(raw[a:b].decode()) for a, b in zip(start[alone].tolist(), end[alone].tolist(), strict=True)]
+            count[alone] = [len(x) for x in own]
+            begin[alone] = used + np.cumsum(count[alone]) - count[alone]
+            ids = np.concatenate([ids[:used], np.array([i for x in own for i in x], np.uint32)])
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(start, offsets)]
+        out = ids[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        return out, total[np.searchsorted(start, offsets)]
+
+
+def _append(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``more`` behind the first ``used`` values; the array grows by doubling."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held, np.zeros(max(len(held), len(more)), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +285,14 @@ def pack(
     capacity: int = SEQUENCE_TOKENS,
     end_id: int = END_ID,
     block_tokens: int = BLOCK_TOKENS,
+    order: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per piece: see ``PIECES``.
 
+    With ``order``, columns that put the documents into training order, blocks are runs of
+    that order, and sequence ids grow with it from block to block; without it documents are
+    packed where they stand, and nothing is shuffled.
+
     A document is its ids and the end id; a null or empty text is the end id alone. Each
     id lies in exactly one piece, and a sequence's pieces follow each other without gaps.
     Rows that repeat an id are documents of their own. Null ids stay null. An empty table
@@ -268,7 +330,7 @@ def pack(
             return out
 
         for batch in batches:
-            for part in K.steps(batch, 1):
+            for part in K.steps(batch, 1, min(K.STEP_BYTES, 4 * block_tokens)):
                 ids, offsets = tokenizer.encode(part.column(1))
                 lengths = np.diff(offsets)
                 own = np.insert(ids, offsets[1:], end_id).astype(np.uint32)
@@ -279,5 +341,7 @@ def pack(
         if held:
             yield flush()
 
+    if order:
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +46,11 @@ def discard(*tables: DataFrame | None) -> None:
             spark = df.sparkSession
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def in_file_order(docs: DataFrame, names: tuple[str, str] = ("_file", "_row")) -> DataFrame:
+    """``docs`` with two columns that give the order in which its part files were written;
+    nulls where it is not read from files."""
+    if not docs.inputFiles():
+        return docs.withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(None).cast("long")})
+    return docs.select("*", F.col("_metadata.file_name").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))

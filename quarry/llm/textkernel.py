@@ -87,6 +87,25 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return h
 
 
+def same_spans(
+    a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray
+) -> np.ndarray:
+    """Do the spans of ``length`` bytes from ``a_start`` in a and from ``b_start`` in b agree
+    byte by byte?"""
+    one, two = (
+        np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,)) for x in (a, b)
+    )
+    out = np.ones(len(length), bool)
+    live = np.flatnonzero(length > 0)
+    p, q, left = a_start[live], b_start[live], length[live]
+    while len(live):
+        same = ((one[p] ^ two[q]) & _KEEP[np.minimum(left, 8)]) == 0
+        out[live[~same]] = False
+        go = same & (left > 8)
+        live, p, q, left = live[go], p[go] + 8, q[go] + 8, left[go] - 8
+    return out
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets) of a string array without a copy; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -149,6 +149,57 @@ def test_tokenizer_equals_library():
             assert ids[off[k] : off[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_long_words_and_shared_hashes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from quarry.llm import textkernel as K
+
+    tm = ["a"]
+    while len(tm[0]) < 4096:
+        tm[0] += tm[0].translate(str.maketrans("ab", "ba"))
+    other = tm[0].translate(str.maketrans("ab", "ba"))
+    texts = [tm[0][:2048], other[:2048], tm[0][:200], other[:200], "x" * 5000 + ", end", "q" * 255 + " " + "q" * 256 + " " + "q" * 257]
+    library = Tokenizer.from_file(default_tokenizer_path())
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    split = lambda own: [ids[off[k] : off[k + 1]].tolist() for ids, off in [own.encode(pa.array(texts))] for k in range(len(texts))]
+    assert split(WordTokenizer(default_tokenizer_path())) == want
+    # with a hash of three values nearly all pieces collide, and ids are right all the same
+    monkeypatch.setattr(K, "hash_spans", lambda data, start, end, seed=0: ((end - start) % 3).astype(np.uint64) * np.uint64(2))
+    own = WordTokenizer(default_tokenizer_path())
+    assert split(own) == want == split(own)
+
+
+def test_other_vocabulary_file(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = json.load(open(default_tokenizer_path(), encoding="utf-8"))
+    file["normalizer"]["normalizers"] = file["normalizer"]["normalizers"][:2]  # keeps capitals
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    texts = ["Some Text, don't", "", "x<|endoftext|>"]
+    own, library = WordTokenizer(str(path)), Tokenizer.from_file(str(path))
+    ids, off = own.encode(pa.array(texts))
+    assert [ids[off[k] : off[k + 1]].tolist() for k in range(3)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pack_in_order(make, spark, tmp_path):
+    from quarry.llm.shared import in_file_order
+
+    rows = [(i, f"text {i} " * 30) for i in range(400)]
+    make(rows, False).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
+    docs = in_file_order(spark.read.parquet(str(tmp_path / "d")))
+    got = pack(docs, order=("_file", "_row"), block_tokens=5000).toPandas()
+    first = got.groupby("sequence_id").doc_id.agg(["min", "max"]).sort_index()
+    # a sequence's documents stand near each other in the order, and sequences follow it
+    assert (first["max"] - first["min"] < 120).all() and len(first) > 10
+    half = len(first) // 2
+    assert first["min"][:half].max() < first["max"][half:].min() + 120
+    assert set(got.doc_id) == set(range(400))
+    assert pack(in_file_order(make(rows)), order=("_file", "_row")).count() > 0
+
+
 def test_pack(make, spark):
     from tokenizers import Tokenizer
 
