@@ -8,7 +8,7 @@ from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.ngram_join import keep_one_of_each
 from quarry.llm.packing import pack
-from quarry.llm.shared import new_path
+from quarry.llm.shared import in_file_order, new_path
 from quarry.llm.toxicity import without_toxic
 
 
@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences."""
-    return pack(docs)
+    """Pieces of documents, packed into sequences. The mix left its part files in training
+    order; blocks of documents are taken in that order, and sequence ids follow it."""
+    return pack(in_file_order(docs), order=("_file", "_row"))
 
 
 STAGES = [
