@@ -91,6 +91,17 @@ def word_trigrams(word: Column) -> Column:
     )
 
 
+def trigram_places(word: Column) -> Column:
+    """The offsets at which a word's trigrams begin, unwrapped."""
+    return F.sequence(F.lit(0), F.greatest(F.length(word) - 3, F.lit(0)))
+
+
+def n_trigrams(words: Column) -> Column:
+    """Number of trigrams that the words yield."""
+    one = lambda w: F.greatest(F.length(w) - 2, F.lit(1)).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda total, w: total + one(w))
+
+
 def clamp_offset(off: Column) -> Column:
     return F.least(off, F.lit(OFFSET_LIMIT - 1)).cast("int")
 

@@ -56,7 +56,13 @@ class Index:
     def average_document_length(self) -> float:
         return self.avg_len
 
+    def sought(self) -> DataFrame:
+        """Postings to be joined with ``term_stats``, which lack the emptied lists: those
+        need not be taken out of the postings first."""
+        return self.extra.get("all_postings", self.postings)
+
     def persist(self) -> Index:
+        self.extra.pop("all_postings", None)
         self.postings, self.term_stats, self.doc_stats = (
             x.persist() for x in (self.postings, self.term_stats, self.doc_stats)
         )
@@ -131,11 +137,17 @@ def _checked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), A.plain_text(F.col("text")).alias("text"))
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Documents dealt by id. The texts move once; all counts per document that follow keep
+    to their partition, where postings, several times as large, would have to move."""
+    return _checked(docs).repartition("doc_id")
+
+
 def inverted_tokens(docs: DataFrame, stem: bool = True) -> DataFrame:
     """(doc_id, doc_len, tokens): one row per document, empty documents included."""
     make = A.stemmed_tokens if stem else A.tokens
     return (
-        _checked(docs)
+        _dealt(docs)
         .select("doc_id", make(F.col("text")).alias("tokens"))
         .select("doc_id", F.size("tokens").cast("long").alias("doc_len"), "tokens")
     )
@@ -159,18 +171,26 @@ def build_inverted(docs: DataFrame, stem: bool = True) -> Index:
 
 
 def trigram_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, doc_stats). Frequencies are counted by the raw offset; offsets are
-    clamped afterwards without merging, so a document may own several entries of a key."""
-    grams = _checked(docs).select(
-        "doc_id", F.flatten(F.transform(A.trigram_words(F.col("text")), A.word_trigrams)).alias("grams")
+    """(postings, doc_stats). Each distinct word of a document is cut into trigrams once.
+    Frequencies are counted by the raw offset; offsets are clamped afterwards without
+    merging, so a document may own several entries of a key."""
+    words = _dealt(docs).select("doc_id", A.trigram_words(F.col("text")).alias("words"))
+    sized = words.select("doc_id", A.n_trigrams(F.col("words")).alias("doc_len"), "words")
+    distinct = (
+        sized.select("doc_id", "doc_len", F.explode("words").alias("word"))
+        .groupBy("doc_id", "doc_len", "word")
+        .agg(F.count("*").alias("times"))
     )
-    sized = grams.select("doc_id", F.size("grams").cast("long").alias("doc_len"), "grams")
+    grams = distinct.select("doc_id", "doc_len", "times", "word", F.explode(A.trigram_places(F.col("word"))).alias("at"))
     postings = (
-        sized.select("doc_id", "doc_len", F.inline("grams"))
+        grams.select(
+            "doc_id", "doc_len", "times", F.substring("word", F.col("at") + 1, F.lit(3)).alias("tri"),
+            F.pmod("at", F.lit(256)).cast("int").alias("off"),
+        )
         .groupBy("doc_id", "doc_len", "tri", "off")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.sum("times").alias("tf"))
         .select("tri", A.clamp_offset(F.col("off")).alias("off"), "doc_id", "tf", "doc_len")
-    )
+    )
     return postings, sized.select("doc_id", "doc_len")
 
 
@@ -192,7 +212,8 @@ def build_trigram(docs: DataFrame) -> Index:
     stop = all_stats.where(F.col("df") > limit).select("tri", "off")
     # Stop keys are few: each has over limit entries. Catalyst broadcasts them if small.
     kept = postings.join(stop, ["tri", "off"], "left_anti")
-    return Index("trigram", kept, term_stats, doc_stats, n, avg, extra={"stop_keys": stop, "limit": limit})
+    extra = {"stop_keys": stop, "limit": limit, "all_postings": postings}
+    return Index("trigram", kept, term_stats, doc_stats, n, avg, extra=extra)
 
 
 class VectorSpaceIndex:

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring as S
 from quarry.functions import text as A
 from quarry.operators.index import Index
 
-#: Scores are compared after rounding, so that equal documents tie on any summation order.
-TIE_DIGITS = 10
+#: A score is the sum of its contributions' multiples of COARSE and of what is left in
+#: multiples of FINE. Both sums are exact in a double (up to 2^22 contributions' worth), so a
+#: score does not depend on the order of summation, equal documents tie, and scores far
+#: below 1 keep their digits.
+COARSE, FINE = 2.0**-30, 2.0**-76
 RESULT = "query string, rank int, doc_id long, score double"
 
 
+def exact_sum(value: Column) -> Column:
+    coarse = F.rint(value / F.lit(COARSE)) * F.lit(COARSE)
+    fine = F.rint((value - coarse) / F.lit(FINE)) * F.lit(FINE)
+    return F.sum(coarse) + F.sum(fine)
+
+
 def _ranked_sum(index: Index, wanted: DataFrame, by: list[str], scoring) -> DataFrame:
     """wanted: ``by`` columns, key columns, ``times``, ``n_keys``."""
     score = S.resolve(scoring)
@@ -23,11 +32,11 @@ def _ranked_sum(index: Index, wanted: DataFrame, by: list[str], scoring) -> Data
         ),
         index.keys,
     )
-    hits = index.postings.join(weighted, index.keys)
+    hits = index.sought().join(weighted, index.keys)
     value = score(F.col("tf"), F.col("doc_len"), F.lit(float(index.avg_len)), F.col("_idf"))
     if index.algorithm == "trigram":
         value = value / F.col("n_keys")
-    return hits.groupBy(*by, "doc_id").agg(F.sum(value * F.col("times")).alias("score"))
+    return hits.groupBy(*by, "doc_id").agg(exact_sum(value * F.col("times")).alias("score"))
 
 
 def search(index: Index, query: str, scoring="bm25", k: int = 10) -> DataFrame:
@@ -49,12 +58,12 @@ def search(index: Index, query: str, scoring="bm25", k: int = 10) -> DataFrame:
     if counts:
         only = F.col(first).isin(*sorted({key[0] for key in counts}))
         narrowed = Index(
-            index.algorithm, index.postings.where(only), index.term_stats.where(only), index.doc_stats,
+            index.algorithm, index.sought().where(only), index.term_stats.where(only), index.doc_stats,
             index.n, index.avg_len, index.stemmed,
         )
-    summed = _ranked_sum(narrowed, wanted, [], scoring).withColumn("_r", F.round("score", TIE_DIGITS))
-    top = summed.orderBy(F.desc("_r"), F.desc("doc_id")).limit(max(k, 0))
-    rank = F.row_number().over(Window.orderBy(F.desc("_r"), F.desc("doc_id")))
+    summed = _ranked_sum(narrowed, wanted, [], scoring)
+    top = summed.orderBy(F.desc("score"), F.desc("doc_id")).limit(max(k, 0))
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("doc_id")))
     return top.select(rank.cast("int").alias("rank"), "doc_id", "score")
 
 
@@ -75,10 +84,17 @@ def query_keys(index: Index, queries: DataFrame) -> DataFrame:
 
 def search_batch(index: Index, queries: DataFrame, scoring="bm25", k: int = 10) -> DataFrame:
     """(query_id, query, rank, doc_id, score) for ``queries(query_id, content)`` in one
-    job. ``query_id`` tells lines apart, also equal ones. The window keeps k rows per
-    query before and after the shuffle."""
-    summed = _ranked_sum(index, query_keys(index, queries), ["query_id"], scoring)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DIGITS)), F.desc("doc_id"))
+    job. ``query_id`` tells lines apart, also equal ones. Postings of keys that no query has
+    go before anything is counted or joined. The window keeps k rows per query before and
+    after the shuffle."""
+    wanted = query_keys(index, queries)
+    asked = wanted.select(*index.keys).distinct()
+    only = lambda d: d.join(asked, index.keys, "left_semi")
+    narrowed = Index(
+        index.algorithm, only(index.sought()), only(index.term_stats), index.doc_stats, index.n, index.avg_len, index.stemmed
+    )
+    summed = _ranked_sum(narrowed, wanted, ["query_id"], scoring)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
     top = summed.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     names = queries.select("query_id", F.col("content").alias("query"))
     return top.join(names, "query_id").select("query_id", "query", "rank", "doc_id", "score")
