@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--benchmarking-mode", action="store_true", help="only build the index")
     p.add_argument("-n", "--num_results", type=int, default=10)
     p.add_argument("-q", "--queries", help="folder of .txt files, one query per line")
+    p.add_argument("-l", "--latency", action="store_true", help="with -q: one query at a time, the time of each is printed")
     return p
 
 
@@ -38,8 +39,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.benchmarking_mode:
             return 0
         if args.queries:
+            queries = read_queries(spark, args.queries)
+            if args.latency:
+                for row in queries.orderBy("query_id").toLocalIterator():
+                    began = time.perf_counter_ns()
+                    search(index, row["content"], args.scoring, args.num_results).collect()
+                    print(f"{row['content']}: {time.perf_counter_ns() - began}")
             began = time.perf_counter_ns()
-            ranked = search_batch(index, read_queries(spark, args.queries), args.scoring, args.num_results)
+            ranked = search_batch(index, queries, args.scoring, args.num_results)
             path = write_results(ranked, args.queries, args.scoring)
             print(f"{path}: {time.perf_counter_ns() - began}")
             return 0

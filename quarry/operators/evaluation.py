@@ -14,13 +14,15 @@ def overlap_at_k(left: DataFrame, right: DataFrame, k: int = 100) -> DataFrame:
 
 
 def score_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row (matches, sum_abs_diff) over (doc_id, score) lists; ids compare as strings
-    and repeated ids pair one to one."""
+    """One row (matches, sum_abs_diff) over (doc_id, score) lists; ids compare as strings.
+    Repeated ids pair one to one in the order of the list: of ``position``, or else of
+    ``rank``; by score only where a list has neither."""
 
     def numbered(d: DataFrame, name: str) -> DataFrame:
         key = F.col("doc_id").cast("string")
-        nth = F.row_number().over(Window.partitionBy("_key").orderBy("score"))
-        return d.select(key.alias("_key"), F.col("score").cast("double").alias("score")).select(
+        order = next((c for c in ("position", "rank") if c in d.columns), "score")
+        nth = F.row_number().over(Window.partitionBy("_key").orderBy("_at", "score"))
+        return d.select(key.alias("_key"), F.col(order).alias("_at"), F.col("score").cast("double").alias("score")).select(
             "_key", nth.alias("_nth"), F.col("score").alias(name)
         )
 

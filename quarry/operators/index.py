@@ -73,7 +73,8 @@ class Index:
             x.unpersist()
 
     def stats(self) -> DataFrame:
-        """One row: terms, postings, documents, logical bytes, approximate vocabulary."""
+        """One row: terms, postings, documents, logical bytes, approximate vocabulary, and the
+        bytes of a stored index's files (null if it is not stored)."""
         key = F.concat_ws("|", *self.keys)
         terms = self.term_stats.agg(
             F.count("*").alias("n_terms"),
@@ -93,9 +94,17 @@ class Index:
                 "approx_terms",
                 F.lit(self.n).cast("long").alias("n"),
                 F.lit(float(self.avg_len)).alias("avg_len"),
+                F.lit(self._stored_bytes()).cast("long").alias("stored_bytes"),
             )
         )
 
+    def _stored_bytes(self) -> int | None:
+        if not self.stored_at:
+            return None
+        spark = self.postings.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(self.stored_at)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
     def save(self, path: str) -> None:
         """Parquet round trip. Postings are range-partitioned and sorted by key, so a
         pushed-down key filter skips files and row groups."""

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from quarry.functions import text as A
 from quarry.functions.stemmer import porter2  # noqa: F401  (part of the surface)
 from quarry.operators import evaluation as E
-from quarry.operators.index import build_inverted, build_trigram, inverted_tokens, trigram_counts
+from quarry.operators.index import build_inverted, build_trigram, inverted_tokens, load_index, trigram_counts
 from quarry.operators.search import search, search_batch
+from quarry.plans.stem_sql import stems
+from quarry.sources import readers as R
+from quarry.sources import writers as W
+from quarry.sources.scratch import scratch_path
 
 QUERY = "worthless the example of another going thatned about"
 DIGITS = 6
@@ -126,11 +130,13 @@ def stem_vocabulary(spark, d):
 
 
 def index_stats(spark, d):
-    return build_inverted(documents(spark, d), stem=False).stats().drop("approx_terms")
+    return build_inverted(documents(spark, d), stem=False).stats().drop("approx_terms", "stored_bytes")
 
 
 def approx_vocabulary(spark, d):
-    return build_inverted(documents(spark, d), stem=False).stats().select("approx_terms")
+    """The exact number of terms, and whether the estimate is within three standard errors."""
+    near = F.abs(F.col("approx_terms") / F.col("n_terms") - 1) <= 3 * 0.092
+    return build_inverted(documents(spark, d), stem=False).stats().select("n_terms", near.alias("estimate_is_near"))
 
 
 def dense_reid(spark, d):
@@ -139,6 +145,80 @@ def dense_reid(spark, d):
     return dense_ids(spark, f"{d}/documents.parquet", "text").select("Id", "text")
 
 
+def _saved(kind, scoring):
+    """Build, save, load, and answer from the stored index."""
+
+    def run(spark, d):
+        docs, path = documents(spark, d), scratch_path(spark, f"index-{kind}")
+        (build_trigram(docs) if kind == "trigram" else build_inverted(docs, stem=kind == "stemmed")).save(path)
+        return _out(search(load_index(spark, path), QUERY, scoring, 10))
+
+    return run
+
+
+def source_by_position(spark, d):
+    path = scratch_path(spark, "corpus")
+    W.write_corpus(documents(spark, d).select("text", "doc_id"), path)
+    return R.load_documents(spark, path)
+
+
+def source_csv(spark, d):
+    path = scratch_path(spark, "csv")
+    one_line = F.regexp_replace("text", "[\\r\\n]", " ")
+    table = documents(spark, d).select(one_line.alias("body"), F.col("doc_id").alias("key"))
+    table.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    return R.read_corpus_csv(spark, path, "body", "key")
+
+
+def source_query_files(spark, d):
+    path = scratch_path(spark, "queries")
+    b = benchmark_queries(spark, d).coalesce(1).sortWithinPartitions("query_id")
+    b.select(F.regexp_replace("content", "[\\r\\n]", " ").alias("value")).write.text(path)
+    return R.read_queries(spark, path).select("line", "content")
+
+
+def sink_result_table(spark, d):
+    path = scratch_path(spark, "results")
+    docs = documents(spark, d)
+    ranked = search_batch(build_inverted(docs, stem=False), benchmark_queries(spark, d), "bm25", 10)
+    # one line per hit: the query's text is named by its number here
+    named = ranked.select("query_id", "rank", "doc_id", "score", F.col("query_id").cast("string").alias("query"))
+    return R.read_results(spark, W.write_results(named, path, "bm25"))
+
+
+def sink_rank_csv(spark, d):
+    path = W.write_ranks(known_item_rank(spark, d).withColumn("query", F.md5("query")), scratch_path(spark, "ranks"))
+    return spark.read.schema("query string, rank int, document long").csv(path, header=True)
+
+
+def source_score_csv(spark, d):
+    path = scratch_path(spark, "scores")
+    sized = inverted_tokens(documents(spark, d), stem=False)
+    rows = sized.select("doc_id", F.col("doc_len").cast("double")).coalesce(1).sortWithinPartitions("doc_id")
+    rows.write.csv(path)
+    return R.read_scores(spark, path)
+
+
+def source_id_list(spark, d):
+    path = scratch_path(spark, "ids")
+    documents(spark, d).select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("value")).write.text(path)
+    return R.read_id_list(spark, path)
+
+
+def source_search_dump(spark, d):
+    """Benchmark passages as hits of a saved response, some in triple quotes."""
+    path = scratch_path(spark, "dump")
+    plain = F.regexp_replace("content", r'["\\\\]', " ")
+    value = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit('"""'), plain, F.lit('"""'))).otherwise(
+        F.expr("regexp_extract(to_json(array(p)), '(?s)^.(.*).$', 1)")
+    )
+    hit = F.concat(F.lit('{"_source": {"column1": '), value, F.lit("}}"))
+    rows = benchmark_queries(spark, d).withColumn("p", plain).select(F.struct("query_id", hit.alias("h")).alias("x"))
+    whole = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ", ").alias("h"))
+    whole.select(F.concat(F.lit('{"hits": {"hits": ['), "h", F.lit("]}}")).alias("value")).coalesce(1).write.text(path)
+    return R.read_search_dump(spark, path)
+
+
 QUERIES = {
     "tokens_simple": tokens_simple,
     "token_stopword_filtered": tokens_no_stop_words,
@@ -165,6 +245,17 @@ QUERIES = {
     "index_stats": index_stats,
     "approx_vocabulary": approx_vocabulary,
     "dense_reid": dense_reid,
+    "saved_inverted_topk": _saved("plain", "bm25"),
+    "saved_stemmed_topk": _saved("stemmed", "tf-idf"),
+    "saved_trigram_topk": _saved("trigram", "bm25"),
+    "source_by_position": source_by_position,
+    "source_csv": source_csv,
+    "source_query_files": source_query_files,
+    "source_score_csv": source_score_csv,
+    "source_id_list": source_id_list,
+    "source_search_dump": source_search_dump,
+    "sink_result_table": sink_result_table,
+    "sink_rank_csv": sink_rank_csv,
 }
 
 # --- oracles -------------------------------------------------------------------------
@@ -196,6 +287,17 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)
 """
 
 
+_VOCABULARY = f"SELECT DISTINCT token FROM ({_words(_DOCS, 'doc_id', 'text')})"
+
+
+def _stemmed(words: str, ident: str) -> str:
+    """(ident, token) of a relation of ``_words``, tokens replaced by their stems."""
+    return f"SELECT {ident}, stem AS token FROM ({words}) JOIN ({stems(f'SELECT token FROM ({words})')}) USING (token) WHERE stem <> ''"
+
+
+_STF = _TF.replace(_words(_DOCS, "doc_id", "text"), _stemmed(_words(_DOCS, "doc_id", "text"), "doc_id"))
+
+
 def _grams(source: str, ident: str, text: str) -> str:
     return f"""
 SELECT {ident}, substr(w, i + 1, 3) AS tri, (i % 256)::INT AS off FROM (
@@ -235,8 +337,9 @@ def _ranking(kind: str, scoring: str, queries: str, k: int) -> str:
         base, on, norm = _TRI, "tri, off", " / nk"
         q = f"{_grams(queries, 'query_id', 'content')}"
     else:
-        base, on, norm = _TF, "term", ""
-        q = f"SELECT query_id, token AS term FROM ({_words(queries, 'query_id', 'content')})"
+        base, on, norm = _STF if kind == "stemmed" else _TF, "term", ""
+        words = _words(queries, "query_id", "content")
+        q = f"SELECT query_id, token AS term FROM ({_stemmed(words, 'query_id') if kind == 'stemmed' else words})"
     return f"""WITH {base},
 q0 AS ({q}),
 q AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS nk FROM q0),
@@ -297,4 +400,24 @@ LEFT JOIN (SELECT q.content AS query, t.rank, t.doc_id AS document FROM {_nested
 (8 * (SELECT count(*) FROM tf) + (SELECT sum(length(term)) FROM df) + 4 * (SELECT count(*) FROM len))::BIGINT AS logical_bytes,
 n, avg_len FROM st""",
     "dense_reid": 'SELECT doc_id AS "Id", text FROM documents',
+    "inverted_bm25_topk": _single_sql("stemmed", "bm25"),
+    "inverted_tfidf_topk": _single_sql("stemmed", "tf-idf"),
+    "inverted_batch_topk": _batch_sql("stemmed", "bm25", 10),
+    "stem_vocabulary": stems(_VOCABULARY),
+    "approx_vocabulary": f"WITH {_TF} SELECT count(*) AS n_terms, true AS estimate_is_near FROM df",
+    "saved_inverted_topk": _single_sql("plain", "bm25"),
+    "saved_stemmed_topk": _single_sql("stemmed", "tf-idf"),
+    "saved_trigram_topk": _single_sql("trigram", "bm25"),
+    "source_by_position": "SELECT doc_id, text FROM documents",
+    "source_csv": r"SELECT doc_id AS id, regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM documents",
+    "source_query_files": r"""SELECT row_number() OVER (ORDER BY item_id)::INT AS line,
+regexp_replace(text, '[\r\n]', ' ', 'g') AS content FROM benchmark""",
+    "source_score_csv": f"""WITH {_TF} SELECT doc_id::VARCHAR AS doc_id, doc_len::DOUBLE AS score,
+row_number() OVER (ORDER BY doc_id)::BIGINT AS position FROM len""",
+    "source_id_list": "SELECT doc_id::VARCHAR AS doc_id FROM documents",
+    "source_search_dump": r"""SELECT (row_number() OVER (ORDER BY item_id) - 1)::INT AS pos,
+regexp_replace(text, '["\\]', ' ', 'g') AS column1 FROM benchmark""",
+    "sink_result_table": f"{_ranking('plain', 'bm25', _BENCH, 10)} SELECT query_id::VARCHAR AS query, rank, doc_id, "
+    "printf('%.6g', score)::DOUBLE AS score FROM top",
 }
+ORACLE_SQL["sink_rank_csv"] = f"SELECT md5(query) AS query, rank, document FROM ({ORACLE_SQL['known_item_rank']})"

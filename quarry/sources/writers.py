@@ -36,6 +36,11 @@ def write_corpus(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").option("compression", "none").parquet(path)
 
 
+def write_dense_ids(rows: DataFrame, path: str) -> None:
+    """(text, Id) of ``dense_ids`` as Parquet, in the order of the ids."""
+    rows.repartitionByRange("Id").sortWithinPartitions("Id").write.mode("overwrite").parquet(path)
+
+
 def write_ranks(ranks: DataFrame, folder: str) -> str:
     path = f"{folder}/query_ranks.csv"
     ranks.select("query", "rank", "document").write.mode("overwrite").option("header", True).csv(path)

@@ -93,6 +93,30 @@ def test_ties_prefer_larger_id(docs):
     assert [r["doc_id"] for r in search(build_index(docs), "cat", "tf-idf", 2).orderBy("rank").collect()] == [10, 9]
 
 
+def test_small_scores_keep_their_order(spark):
+    rows = [(k, "needle " + "filler " * (2_000_000 // 100 + k)) for k in (1, 2, 3)]
+    rows += [(50 + k, "needle other") for k in range(2)] + [(60, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tiny = lambda tf, length, avg, idf: idf * 1e-3 * tf / length
+    got = [r["doc_id"] for r in search(build_index(docs), "needle", tiny, 5).orderBy("rank").collect()]
+    assert got == [51, 50, 1, 2, 3]  # shorter documents first, although scores differ by 1e-12 only
+
+
+def test_sums_do_not_depend_on_their_order(spark):
+    import random
+
+    from quarry.operators.search import exact_sum
+
+    r = random.Random(1)
+    values = [10 ** r.uniform(-9, 1.5) for _ in range(60)]
+    sums = set()
+    for _ in range(5):
+        r.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        sums.add(df.agg(exact_sum(df["v"]).alias("s")).first()["s"])
+    assert len(sums) == 1 and math.isclose(sums.pop(), math.fsum(values), rel_tol=1e-15)
+
+
 def test_k_zero_and_no_match(docs):
     index = build_index(docs)
     assert search(index, "cat", "bm25", 0).count() == 0
@@ -127,6 +151,7 @@ def test_round_trip(spark, docs, tmp_path, kind):
     plan = again.search("salmon")._jdf.queryExecution().toString()
     assert "PushedFilters" in plan
     assert again.stats().first()["n_docs"] == 9
+    assert again.stats().first()["stored_bytes"] > 1000 and index.stats().first()["stored_bytes"] is None
 
 
 def test_evaluation(spark):
@@ -136,6 +161,8 @@ def test_evaluation(spark):
     x = spark.createDataFrame([("1", 1.0), ("1", 2.0), ("2", 1.0)], "doc_id string, score double")
     y = spark.createDataFrame([("1", 0.5), ("3", 1.0)], "doc_id string, score double")
     assert tuple(E.score_difference(x, y).first()) == (1, 0.5)
+    listed = lambda *rows: spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "position long, doc_id string, score double")
+    assert tuple(E.score_difference(listed(("1", 2.0), ("1", 1.0)), listed(("1", 1.0), ("1", 3.0))).first()) == (2, 3.0)
     wanted = spark.createDataFrame([("q", 5), ("q", 8)], "query string, document long")
     got = spark.createDataFrame([("q", 2, 5)], "query string, rank int, doc_id long")
     assert sorted(tuple(r) for r in E.known_item_rank(wanted, got).collect()) == [("q", -1, 8), ("q", 2, 5)]
@@ -169,10 +196,24 @@ def test_converters(spark, tmp_path):
     assert sorted(r["doc_id"] for r in R.load_documents(spark, str(tmp_path / "c")).collect()) == [3, 4]
     spark.createDataFrame([(c,) for c in "abcdefgh"], "t string").repartition(3).write.parquet(str(tmp_path / "p"))
     assert sorted(r["Id"] for r in R.dense_ids(spark, str(tmp_path / "p"), "t").collect()) == list(range(8))
+    names = sorted(f.name for f in (tmp_path / "p").glob("*.parquet"))
+    ordered = [r["t"] for n in names for r in spark.read.parquet(str(tmp_path / "p" / n)).collect()]
+    W.write_dense_ids(R.dense_ids(spark, str(tmp_path / "p"), "t"), str(tmp_path / "r"))
+    assert [r["t"] for r in spark.read.parquet(str(tmp_path / "r")).orderBy("Id").collect()] == ordered
     with pytest.raises(ValueError):
         R.dense_ids(spark, str(tmp_path / "p"), "missing")
 
 
+def test_lists(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("7,1.5\n7,0.5\n8,2\n")
+    got = [tuple(r) for r in R.read_scores(spark, str(tmp_path / "s.csv")).orderBy("position").collect()]
+    assert got == [(1, "7", 1.5), (2, "7", 0.5), (3, "8", 2.0)]
+    (tmp_path / "ids.txt").write_text(" 4\n5 \n")
+    assert [r["doc_id"] for r in R.read_id_list(spark, str(tmp_path / "ids.txt")).collect()] == ["4", "5"]
+    (tmp_path / "known.tbl").write_text("cat|9\ndog|5\n")
+    assert sorted(tuple(r) for r in R.read_known_items(spark, str(tmp_path / "known.tbl")).collect()) == [("cat", 9), ("dog", 5)]
+
+
 def test_search_dump(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"hits": {"hits": [{"_source": {"column1": """a "quoted"\nline"""}}, {"_source": {"column1": "b"}}]}}')
     rows = R.read_search_dump(spark, str(tmp_path / "d.json")).orderBy("pos").collect()
@@ -188,6 +229,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "-q", str(tmp_path / "q"), "-n", "2"], spark) == 0
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "q" / "tf-idf_result.tbl")).collect()]
     assert len(lines) == 4 and lines[0].startswith("cat|1|10|") and lines[2].startswith("salmon|1|")
+    capsys.readouterr()
+    assert main([*base, "-q", str(tmp_path / "q"), "-l"], spark) == 0
+    assert [x.split(":")[0] for x in capsys.readouterr().out.splitlines()[:2]] == ["cat", "salmon"]
     assert main(["-a", "inverted"], spark) == 1
 
 
