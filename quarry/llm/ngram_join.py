@@ -95,7 +95,7 @@ def set_marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Shingles that this many sets of a block share are counted as perhaps frequent.
-FREQUENT_IN_BLOCK, BLOCK_SHINGLES = 4, 2_000_000
+FREQUENT_IN_BLOCK, BLOCK_SHINGLES = 3, 1_000_000
 #: The most frequent of these are told apart in ordering elements; the others only cost more.
 FREQUENT = 1 << 18
 #: Places are rounded down to this many steps of the longest that a set shows.
@@ -302,6 +302,8 @@ def _meta(n: int, percent: int):
                     held, seen, total = [], set(), 0
         if held:
             yield counted(1, None, np.concatenate(held), FREQUENT_IN_BLOCK)
+        held = []
+        K.give_back()
 
     return run
 
@@ -453,6 +455,7 @@ def _group(percent: int):
                 if bucket != last and held:
                     yield from whole(last, held)
                     held = []
+                    K.give_back()
                 last = bucket
                 six = np.zeros((len(places), 8), np.uint8)
                 six[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
@@ -462,6 +465,8 @@ def _group(percent: int):
                 held.append((six.view("<u8").ravel(), own & (_COMPANY | _SMALL), nodes[number], n, bands.left(places, n)))
         if held:
             yield from whole(last, held)
+            held = []
+            K.give_back()
 
     return run
 

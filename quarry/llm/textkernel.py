@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +128,18 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can: workers stay alive
+    beside the JVM between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def steps(batch: pa.RecordBatch, text_at: int, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``size`` bytes of text each; a longer text stands alone."""
+    """Slices of a batch with about ``size`` bytes of text each; a longer text stands alone.
+    What the steps have freed goes back to the system after the last."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
@@ -136,6 +147,7 @@ def steps(batch: pa.RecordBatch, text_at: int, size: int = STEP_BYTES) -> Iterat
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
