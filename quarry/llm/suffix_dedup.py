@@ -10,13 +10,12 @@ first narrowed to those that can repeat, without losing one:
    holds for each text that two segments of an anchor share.
 3. For the other anchors one segment per distinct text goes to a shard by its anchor. A
    shard's suffix array is built by Larsson-Sadakane refinement (doubling, re-sorting
-   only groups that are not yet singletons). No prefix lengths are computed: whether
-   neighbours in the array have 200 equal bytes is read off the stored ranks, which
-   replaces Kasai's scan, as only that one length matters. Such windows repeat.
-4. An anchor with very many distinct segments is split over several shards. These also
-   emit fingerprints of their windows, which are dealt out by value, sorted and grouped;
-   equal ones repeat. The grouping replaces a binary search of each shard's fingerprints
-   in the sorted union of all: it finds the same windows, and no task reads that union.
+   only groups that are not yet singletons), its common prefixes by Kasai's rule, taken
+   for all suffixes at once. Windows with 200 bytes in common with a neighbour repeat.
+4. An anchor with very many distinct segments is split over several shards. Each of these
+   also emits fingerprints of its distinct windows. Shards are merged by ranges of
+   fingerprints: each is searched in the sorted union by bisection, and those that it
+   holds twice repeat. A window of however many texts is one row of each shard.
 
 All groupings are aggregates with a partial step, so a text that a third of all documents
 share shuffles one row per task.
@@ -38,7 +37,7 @@ from quarry.llm.shared import written
 WINDOW = 200
 GRAM = 32
 #: Distinct segments of one anchor above which it is split over shards.
-SPLIT_SEGMENTS = 4096
+SPLIT_SEGMENTS = 1024
 #: Bytes of one shard's text.
 SHARD_BYTES = 1 << 20
 _CHUNK = 1 << 23  # positions that fit beside 40 bits of hash in an anchor's key
@@ -81,7 +80,7 @@ def segment_table(data: np.ndarray, offsets: np.ndarray, window: int, gram: int)
     count = np.diff(np.append(first, len(starts)))
     begin = starts[first]
     text = np.searchsorted(offsets, begin, side="right") - 1
-    return text, begin, count, grams[anchor[first]], K.span_hash(h, begin, begin + count + window - 1)
+    return text, begin, count, grams[anchor[first]], K.hash_spans(data, begin, begin + count + window - 1)
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray, window: int):
@@ -118,66 +117,109 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     return docs.mapInArrow(run, SEGMENTS)
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """(suffix array to at least ``depth`` bytes, ranks by prefix length).
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by Larsson-Sadakane refinement.
 
     Ranks are group starts. Each round doubles the sorted length and touches only groups
-    that hold more than one suffix."""
+    that hold more than one suffix, until none does."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
     order = np.argsort(key, kind="stable")
     first = np.ones(n, bool)
     sorted_key = key[order]
     np.not_equal(sorted_key[1:], sorted_key[:-1], out=first[1:])
+    del key, sorted_key
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    levels, h = {8: rank.copy()}, 8
-    while h < depth:
-        size = np.diff(np.append(np.flatnonzero(first), n))
-        open_at = np.flatnonzero(np.repeat(size > 1, size))
-        if len(open_at):
-            pos = order[open_at]
-            pair = rank[pos] * (n + 1) + rank[np.minimum(pos + h, n)] + 1
-            by = np.argsort(pair, kind="stable")
-            order[open_at] = pos[by]
-            pair = pair[by]
-            fresh = np.ones(len(pair), bool)
-            np.not_equal(pair[1:], pair[:-1], out=fresh[1:])
+    # suffixes shorter than the key stand behind zero bytes that are not theirs
+    h = 8
+    if n and not first.all():
+        tail = np.arange(max(n - 8, 0), n)
+        open_at = _open_places(first)
+        pos = order[open_at]
+        if np.isin(pos, tail).any():
+            by = np.lexsort((np.where(pos + 8 > n, n - pos, 8), rank[pos]))
+            pos = pos[by]
+            order[open_at] = pos
+            size = np.where(pos + 8 > n, n - pos, 8)
+            fresh = np.append(True, (rank[pos[1:]] != rank[pos[:-1]]) | (size[1:] != size[:-1]))
             first[open_at] = fresh
-            start = np.maximum.accumulate(np.where(fresh, open_at, 0))
-            rank = rank.copy()
-            rank[order[open_at]] = start
+            rank[pos] = np.maximum.accumulate(np.where(fresh, open_at, 0))
+    while not first.all():
+        open_at = _open_places(first)
+        pos = order[open_at]
+        pair = rank[pos] * (n + 1) + rank[np.minimum(pos + h, n)] + 1
+        by = np.argsort(pair, kind="stable")
+        pos, pair = pos[by], pair[by]
+        order[open_at] = pos
+        fresh = np.ones(len(pair), bool)
+        np.not_equal(pair[1:], pair[:-1], out=fresh[1:])
+        first[open_at] = fresh
+        rank[pos] = np.maximum.accumulate(np.where(fresh, open_at, 0))
         h *= 2
-        levels[h] = rank
-    return order, levels
+    return order
+
+
+def _open_places(first: np.ndarray) -> np.ndarray:
+    """Places in groups of more than one suffix."""
+    size = np.diff(np.append(np.flatnonzero(first), len(first)))
+    return np.flatnonzero(np.repeat(size > 1, size))
+
+
+def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix of the array has in common with the one before it (Kasai).
+
+    In text order a suffix has at most one byte less in common with its neighbour than the
+    suffix one byte before it; it has exactly one less where the bytes before both are
+    equal. Only the other suffixes are compared, eight bytes at a time and all at once; a
+    running maximum then gives each suffix the last compared one before it."""
+    n = len(data)
+    before = np.full(n, -1, np.int64)  # the suffix before each one in the array
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    has = before >= 0
+    fresh = ~has | (at == 0) | (before <= 0)
+    inner = np.flatnonzero(~fresh)
+    fresh[inner] = data[inner - 1] != data[before[inner] - 1]
+    fresh[1:] |= ~has[:-1]  # what stands behind a suffix without neighbour is compared
+    common = np.zeros(n, np.int64)
+    live = np.flatnonzero(fresh & has)
+    eight = np.ndarray((n + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    p, q = live.copy(), before[live]
+    while len(live):
+        left = n - np.maximum(p, q)
+        diff = eight[p] ^ eight[q]
+        low = diff & (~diff + np.uint64(1))  # its lowest set bit lies in the first byte that differs
+        same = np.where(diff == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+        step = np.minimum(same, left)
+        common[live] += step
+        go = (step == 8) & (left > 8)
+        live, p, q = live[go], p[go] + 8, q[go] + 8
+    last = np.maximum.accumulate(np.where(fresh, at, 0))
+    by_text = np.where(has, np.maximum(common[last] - (at - last), 0), 0)
+    return by_text[order]
 
 
 def repeated_windows(data: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
     """For each valid start (sorted): does its window occur at another valid start?
 
-    Neighbours in suffix-array order are compared for equality over ``window`` bytes by the
-    stored ranks: lengths that are powers of two add up to the window."""
-    order, levels = suffix_ranks(data, window)
+    Valid suffixes that follow each other in the array have in common the least of the
+    common prefixes from one to the other."""
+    order = suffix_array(data)
+    common = common_prefixes(data, order)
     is_valid = np.zeros(len(data), bool)
     is_valid[valid] = True
-    kept = order[is_valid[order]]
-    same = np.ones(max(len(kept) - 1, 0), bool)
-    at, rest = 0, window
-    for h in sorted(levels, reverse=True):
-        while h <= rest:
-            ranks = levels[h]
-            same &= ranks[kept[:-1] + at] == ranks[kept[1:] + at]
-            at, rest = at + h, rest - h
-    if rest:  # the window is no sum of levels: its last 8 bytes overlap
-        ranks = levels[8]
-        same &= ranks[kept[:-1] + window - 8] == ranks[kept[1:] + window - 8]
+    place = np.flatnonzero(is_valid[order])
+    kept = order[place]
     hit = np.zeros(len(data), bool)
-    hit[kept[1:][same]] = True
-    hit[kept[:-1][same]] = True
+    if len(kept) > 1:
+        same = np.minimum.reduceat(common, place[:-1] + 1)  # the last range runs to the end
+        same[-1] = common[place[-2] + 1 : place[-1] + 1].min()
+        same = same >= window
+        hit[kept[1:][same]] = True
+        hit[kept[:-1][same]] = True
     return hit[valid]
 
 
@@ -196,8 +238,8 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _shard_rows(rows: list[tuple], window: int, split: bool) -> pa.RecordBatch:
-    """One shard: spans that repeat in it and, if its anchor is split, a fingerprint row
-    for each window of its unique segments and of one segment per repeated text."""
+    """One shard: spans that repeat in it and, if its anchor is split, a fingerprint row for
+    each distinct window of its segments."""
     texts = [r[5] for r in rows]
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
@@ -218,10 +260,12 @@ def _shard_rows(rows: list[tuple], window: int, split: bool) -> pa.RecordBatch:
     cols = [pa.array(take(0, o), pa.int64()), pa.array(take(1, o), pa.int64()),
             pa.array(start[o] + within[first]), pa.array(start[o] + within[last] + window), nothing, nothing, nothing]
     if split:
-        h = K.prefix_hash(data)
-        f1 = K.span_hash(h, valid, valid + window)
-        f2 = K.span_hash(K.prefix_hash(data ^ np.uint8(0x5A)), valid, valid + window)
-        w = owner
+        f1, f2 = (K.hash_spans(data, valid, valid + window, seed) for seed in (1, 2))
+        by = np.lexsort((f2, f1))
+        fresh = np.append(True, (f1[by[1:]] != f1[by[:-1]]) | (f2[by[1:]] != f2[by[:-1]]))
+        # a window that the shard has again is found already; one row tells the other shards
+        one = np.sort(by[fresh])
+        f1, f2, w, within = f1[one], f2[one], owner[one], within[one]
         more = [pa.array(take(0, w), pa.int64()), pa.array(take(1, w), pa.int64()), pa.array(start[w] + within),
                 pa.array(start[w] + within + window), pa.array(take(3, w), pa.int64()), _signed(f1), _signed(f2)]
         cols = [pa.concat_arrays([a, b]) for a, b in zip(cols, more, strict=True)]
@@ -249,22 +293,21 @@ def _shards(window: int, shard_bytes: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, doc_hash, a, b, f1, f2) gathered by f1 and sorted: those with company.
-    A group stays together in the sorted stream; what may continue is carried over."""
+    """Rows (doc_id, doc_hash, a, b, f1, f2) of all shards, one range of f1 and sorted: those
+    that a binary search in the sorted union finds more than once. A run of equal values
+    stays together in the stream; what may continue is carried over."""
     held = None
 
-    def done(t: pa.Table, upto: int) -> pa.RecordBatch | None:
-        f1 = t.column("f1").to_numpy()[:upto]
-        f2 = t.column("f2").to_numpy()[:upto]
-        order = np.lexsort((f2, f1))
-        both = np.empty(upto, [("x", np.int64), ("y", np.int64)])
-        both["x"], both["y"] = f1[order], f2[order]
-        change = np.flatnonzero(both[1:] != both[:-1]) + 1
-        edges = np.concatenate([[0], change, [upto]])
-        # the group of each position among the sorted group starts
-        group = np.searchsorted(edges, np.arange(upto), side="right") - 1
-        many = (edges[group + 1] - edges[group]) > 1
-        at = np.sort(order[many])
+    def done(t: pa.Table, upto: int) -> list[pa.RecordBatch]:
+        f1, f2 = (t.column(c).to_numpy()[:upto] for c in ("f1", "f2"))
+        # equal values of f1 stand together; f2 is searched in its sorted values of each run
+        start = np.searchsorted(f1, f1, side="left")
+        union = np.empty(upto, [("x", np.int64), ("y", np.int64)])
+        union["x"], union["y"] = start, f2
+        mine = union.copy()
+        union.sort(order=("x", "y"))
+        alone = np.searchsorted(union, mine, side="right") - np.searchsorted(union, mine, side="left") < 2
+        at = np.flatnonzero(~alone)
         return t.select(["doc_id", "doc_hash", "a", "b"]).take(pa.array(at)).combine_chunks().to_batches()
 
     for batch in batches:
@@ -358,7 +401,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, spli
     prints = found.where("f1 IS NOT NULL")
     across = (
         prints.select("doc_id", "doc_hash", "a", "b", F.xxhash64("anchor", "f1").alias("f1"), "f2")
-        .repartition("f1")
+        .repartitionByRange("f1")
         .sortWithinPartitions("f1")
         .mapInArrow(_merge, "doc_id long, doc_hash long, a long, b long")
     )

@@ -267,6 +267,30 @@ def test_suffixes_edges(make):
     assert merge_spans([(5, 9), (0, 5), (12, 13)]) == [(0, 9), (12, 13)]
 
 
+def test_suffix_array_and_common_prefixes():
+    import numpy as np
+
+    from quarry.llm import suffix_dedup as S
+
+    r = random.Random(2)
+    texts = [bytes(r.choice(a) for _ in range(n)) for a in (b"ab", b"a", b"abcdefgh", b"\0a", b"\0") for n in (1, 2, 7, 8, 9, 40, 200)]
+    texts += [b"abcabcab" * 30, b"x" * 300 + b"y" + b"x" * 300]
+    for text in texts:
+        data = np.frombuffer(text, np.uint8)
+        order = S.suffix_array(data)
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert order.tolist() == want
+        common = S.common_prefixes(data, order)
+        for k in range(1, len(text)):
+            a, b = text[want[k - 1] :], text[want[k] :]
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert common[k] == n
+        valid = np.array(sorted(r.sample(range(max(len(text) - 4, 1)), max(1, (len(text) - 4) // 2)))) if len(text) > 5 else np.array([0])
+        if len(text) > 5:
+            seen = Counter(text[i : i + 5] for i in valid.tolist())
+            assert S.repeated_windows(data, valid, 5).tolist() == [seen[text[i : i + 5]] > 1 for i in valid.tolist()]
+
+
 def test_one_very_long_text():
     import numpy as np
 
