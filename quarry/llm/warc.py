@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import new_path, written
 
 MIN_REVISIT_BYTES = 100
+#: Record bytes that one reading task is given, about.
+TASK_BYTES = 64 << 20
 #: Ranges closer than this are fetched together, up to RANGE_BYTES at once.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
@@ -48,7 +50,14 @@ def _safe(value: str) -> str:
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if set(value) & {"\r", "\n"} else value
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
+def _record_id(page_id, digest: str, place: str = "") -> str:
+    """The id of a page's record follows from its page's id and payload; where that id is
+    null, from its place in the archive."""
+    name = f"page:{page_id}:{digest}" if page_id is not None else f"place:{place}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, place: str = "") -> bytes:
     """One WARC/1.1 record. A revisit has the HTTP header but no payload."""
     http = (
         "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -59,7 +68,7 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Record-ID: {_record_id(page_id, digest, place)}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -71,7 +80,7 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>",
+            f"WARC-Refers-To: {_record_id(refers_to, digest)}",
             f"X-Refers-To-Page-Id: {refers_to}",
         ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -103,7 +112,8 @@ def write_warc(
     The payload is the html in UTF-8, null as empty. Of equal payloads of at least
     ``min_revisit_bytes`` the one with the smallest id is a response and the others are
     revisits of it; rows that repeat that smallest id are responses too, as are rows with
-    a null id. A null url gives a record without a target. Extra columns are not stored;
+    a null id. Record ids follow from page id and payload, so only rows that repeat both
+    share one; a null id's record is named by its place. A null url gives a record without a target. Extra columns are not stored;
     an empty table gives an empty index.
     """
     spark = pages.sparkSession
@@ -140,7 +150,7 @@ def write_warc(
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
             offsets, lengths, kinds = [], [], []
             for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = gzip.compress(record_bytes(page, url, payload, digest, refers), 3, mtime=0)
+                data = gzip.compress(record_bytes(page, url, payload, digest, refers, f"{name}:{at}"), 3, mtime=0)
                 out.write(data)
                 offsets.append(at)
                 lengths.append(len(data))
@@ -213,7 +223,10 @@ def read_warc(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 )
 
     placed = index.select("folder", "file", "offset", "length")
-    ordered = placed.repartitionByRange("folder", "file", "offset").sortWithinPartitions("folder", "file", "offset")
+    # index rows are small, so their bytes would put far too many records into a task
+    total = placed.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(int(-(-total // TASK_BYTES)), min(placed.sparkSession.sparkContext.defaultParallelism, int(total >> 20) + 1))
+    ordered = placed.repartitionByRange(tasks, "folder", "file", "offset").sortWithinPartitions("folder", "file", "offset")
     return ordered.mapInArrow(read, READ)
 
 

@@ -94,6 +94,26 @@ def test_warc(spark):
     assert read_warc(write_warc(pages(spark, []))).count() == 0
 
 
+def test_record_ids(spark):
+    from quarry.llm.warc import _record_id
+
+    spelled = lambda *a: parse_record(record_bytes(*a))
+    one, two = (spelled(None, "u", b"x", "d", None, f"f:{k}")["WARC-Record-ID"] for k in (0, 9))
+    assert one != two
+    assert spelled(5, "u", b"x", "d", None)["WARC-Record-ID"] != spelled(5, "u", b"y", "e", None)["WARC-Record-ID"]
+    assert spelled(7, "u", b"x", "d", 5)["WARC-Refers-To"] == spelled(5, "v", b"x", "d", None)["WARC-Record-ID"] == _record_id(5, "d")
+
+
+def test_reading_is_dealt_by_record_bytes(spark, monkeypatch):
+    from quarry.llm import warc as W
+
+    monkeypatch.setattr(W, "TASK_BYTES", 20_000)
+    r = random.Random(1)
+    rows = [(i, "u", "".join(r.choice("abcdefghij") for _ in range(2000))) for i in range(100)]
+    back = read_warc(write_warc(pages(spark, rows)))
+    assert back.rdd.getNumPartitions() >= 4 and {x["page_id"] for x in back.collect()} == set(range(100))
+
+
 def test_records_are_warc():
     data = record_bytes(5, "http://a/", b"body\r\n\r\nmore", "ab", None)
     assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
