@@ -35,19 +35,18 @@ BLOCK = 64
 PREFIXES = (5, 6, 7, 8)
 EVIDENCE = 3
 _U = np.uint64
-_KIND = np.random.default_rng(11).integers(1, 1 << 63, 16, dtype=np.uint64)
 
 
 def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(term hashes, number of each term's text, words of each text)."""
     start, end = K.word_spans(data, offsets, loose=True)
     owner = np.searchsorted(offsets, start, side="right") - 1
-    h = K.prefix_hash(K.ascii_lower(data))
-    hashes, owners = [K.span_hash(h, start, end) ^ _KIND[0]], [owner]
+    low = K.ascii_lower(data)
+    hashes, owners = [K.hash_spans(low, start, end)], [owner]
     for n in PREFIXES:
         longer = end - start > n
         s = start[longer]
-        hashes.append(K.span_hash(h, s, s + n) ^ _KIND[n])
+        hashes.append(K.hash_spans(low, s, s + n, n))
         owners.append(owner[longer])
     return np.concatenate(hashes), np.concatenate(owners), np.bincount(owner, minlength=len(offsets) - 1)
 
@@ -79,8 +78,11 @@ class Vocabulary:
 class BlockMaxIndex:
     """Examples' unit vectors, in blocks; see the module's first lines."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(
+        self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, ids: np.ndarray | None = None
+    ):
         self.n, self.block = len(vectors), block
+        self.ids = np.arange(self.n) if ids is None else ids
         n_blocks = max(1, -(-self.n // block))
         term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
@@ -96,7 +98,7 @@ class BlockMaxIndex:
         self.evaluated = 0
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, ties to the smaller number."""
+        """(examples, cosines) of the k nearest, ties to the smaller id."""
         bound = self.most[:, terms] @ weights
         visit = np.argsort(-bound, kind="stable")
         scores = np.zeros(self.n)
@@ -119,8 +121,8 @@ class BlockMaxIndex:
             if self.n > k:
                 worst = max(np.partition(scores, -k)[-k], 0.0)
         self.evaluated += sum(map(len, seen))
-        best = np.flatnonzero(scores >= max(worst, 1e-12)) if worst > 0 else np.flatnonzero(scores > 0)
-        best = best[np.lexsort((best, -np.round(scores[best], 12)))][:k]
+        best = np.flatnonzero(scores >= max(worst - 1e-11, 1e-12)) if worst > 0 else np.flatnonzero(scores > 0)
+        best = best[np.lexsort((self.ids[best], -np.round(scores[best], 12)))][:k]
         return best, np.minimum(scores[best], 1.0)
 
 
@@ -349,7 +351,7 @@ def fit(
     strongest = np.array([t[np.argmax(w)] for t, w in vectors])
     order = np.lexsort((ids[chosen_rows], strongest))
     chosen_rows = chosen_rows[order]
-    model.index = BlockMaxIndex([vectors[i] for i in order], size + 1)
+    model.index = BlockMaxIndex([vectors[i] for i in order], size + 1, ids=ids[chosen_rows])
     model.example_ids, model.example_toxic = ids[chosen_rows], toxic[chosen_rows].astype(float)
     place = {int(r): i for i, r in enumerate(chosen_rows)}
     at = np.flatnonzero(hit)
@@ -390,7 +392,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted, evidence_ids, evidence_cos), one row per input row.
 
     Null and empty texts, like all without a known term, get the share of toxic documents
-    among such training documents. Without labels of both classes every score is that of
+    among such training documents. Of neighbours at one distance those with the smaller ids
+    vote. Without labels of both classes every score is that of
     the only class (0 without labels). Rows that repeat an id are scored each. A null id
     is not held out. An empty table gives an empty result. Only the text enters a score.
     """

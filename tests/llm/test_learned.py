@@ -142,6 +142,56 @@ def test_toxicity(labelled):
     assert kept.count() == sum(r["predicted"] == 0 for r in got)
 
 
+def test_scores_against_brute_force(labelled):
+    """Every score and piece of evidence from a full scan of the examples, term by term."""
+    import math
+    import re
+
+    from quarry.llm import textkernel as K
+
+    docs, labels, _ = labelled
+    model = fit(docs, labels, examples_per_class=60)
+    number = {h: k for k, h in enumerate(model.vocabulary.hashes.tolist())}
+
+    def vector(text):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+        counts = {}
+        for w in words:
+            w = w.lower()
+            for n, part in [(0, w), *((n, w[:n]) for n in (5, 6, 7, 8) if len(w) > n)]:
+                h = int(K.hash_spans(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]), n)[0])
+                if h in number:
+                    counts[number[h]] = counts.get(number[h], 0) + 1
+        if not counts:
+            return None
+        counts[len(number)] = max(len(words), 1)
+        raw = {t: (1 + math.log(n)) * model.idf[t] for t, n in counts.items()}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / size for t, x in raw.items()}
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    texts = dict(rows)
+    examples = [(int(i), y, vector(texts[int(i)])) for i, y in zip(model.example_ids, model.example_toxic, strict=True)]
+    got = {r["doc_id"]: r for r in toxicity(docs, labels, examples_per_class=60).collect()}
+    for ident, text in rows:
+        v = vector(text)
+        if v is None:
+            assert got[ident]["score"] == pytest.approx(model.no_hit)
+            continue
+        near = sorted(((-round(min(sum(x * e.get(t, 0.0) for t, x in v.items()), 1.0), 12), i, y) for i, y, e in examples))[:15]
+        by = [1 / (0.01 + 1 + c) for c, _, _ in near]
+        share = sum(w * y for w, (_, _, y) in zip(by, near, strict=True)) / sum(by)
+        assert got[ident]["score"] == pytest.approx(float(np.interp(share, *model.curve)), abs=1e-6)
+        assert got[ident]["evidence_ids"] == [i for _, i, _ in near[:3]]
+
+
+def test_ties_go_to_smaller_ids():
+    v = (np.array([1]), np.array([1.0]))
+    index = BlockMaxIndex([v] * 40, 3, 4, ids=np.arange(40)[::-1] * 10)
+    got, _ = index.top(*v, 5)
+    assert index.ids[got].tolist() == [0, 10, 20, 30, 40]
+
+
 def test_examples_are_drawn_from_the_whole_range_of_ids(make, spark):
     # ids follow kinds: the words of toxic texts change half way
     rows = [(i, f"w{i % 7} w{i % 11} " + ("plain fine" if i % 2 else "vile" if i < 400 else "dreadful")) for i in range(800)]
