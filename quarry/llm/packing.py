@@ -107,7 +107,9 @@ class WordTokenizer:
         self.unusual = regex.compile("[\x85\xa0\u0250-\U0010ffff]").search
         self.letters = _byte_letters()
         self.merge = self.model.model.tokenize
+        del file
         self._reset(most)
+        K.give_back()
 
     def _reset(self, most: int) -> None:
         self.most, self.mask = most, (1 << (2 * most - 1).bit_length()) - 1
@@ -277,6 +279,16 @@ def pack_block(lengths: np.ndarray, capacity: int = SEQUENCE_TOKENS) -> list[tup
     return pieces
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with one value of the third column."""
+    if not batch.num_rows:
+        return
+    code = batch.column(2).fill_null("").dictionary_encode().indices.to_numpy()
+    cut = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -285,13 +297,15 @@ def pack(
     capacity: int = SEQUENCE_TOKENS,
     end_id: int = END_ID,
     block_tokens: int = BLOCK_TOKENS,
-    order: tuple[str, ...] = (),
+    order: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """One row per piece: see ``PIECES``.
+    """One row per piece: see ``PIECES``. Documents are packed where they stand; nothing is
+    shuffled.
 
-    With ``order``, columns that put the documents into training order, blocks are runs of
-    that order, and sequence ids grow with it from block to block; without it documents are
-    packed where they stand, and nothing is shuffled.
+    ``order`` names two columns (a string, a long) that put the documents into training
+    order, as those of ``in_file_order``. A block then holds documents of one string only, in
+    the order they stand in, and each row has a further column ``block``: string and long of
+    its block's first document. Sorted by it, blocks follow each other in training order.
 
     A document is its ids and the end id; a null or empty text is the end id alone. Each
     id lies in exactly one piece, and a sequence's pieces follow each other without gaps.
@@ -308,6 +322,7 @@ def pack(
         base = TaskContext.get().partitionId() << 32
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         tokens = sequences = 0
+        block = None
 
         def flush() -> pa.RecordBatch:
             nonlocal held, tokens, sequences
@@ -320,28 +335,35 @@ def pack(
             view = memoryview(ids.astype("<u4")).cast("B")
             at = (starts[doc] + start) * 4
             crc = [zlib.crc32(view[a : a + n]) for a, n in zip(at.tolist(), (length * 4).tolist(), strict=True)]
-            out = pa.RecordBatch.from_arrays(
-                [ident.take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), lengths[doc])),
-                 pa.array(base + sequences + sequence), pa.array(offset)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            cols = [ident.take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), lengths[doc])),
+                    pa.array(base + sequences + sequence), pa.array(offset)]
+            if order:
+                names, cols = [*names, "block"], [*cols, pa.array([block] * len(doc), pa.string())]
+            out = pa.RecordBatch.from_arrays(cols, names=names)
             sequences += int(sequence.max()) + 1
             held, tokens = [], 0
             return out
 
         for batch in batches:
-            for part in K.steps(batch, 1, min(K.STEP_BYTES, 4 * block_tokens)):
-                ids, offsets = tokenizer.encode(part.column(1))
-                lengths = np.diff(offsets)
-                own = np.insert(ids, offsets[1:], end_id).astype(np.uint32)
-                held.append((part.column(0), own, lengths + 1))
-                tokens += len(own)
-                if tokens >= block_tokens:
+            for near in _runs(batch) if order else [batch]:
+                run_of = near.column(2)[0].as_py() if order and near.num_rows else None
+                if held and order and not (block or "").startswith(f"{run_of}:"):
                     yield flush()
+                for part in K.steps(near, 1, min(K.STEP_BYTES, 4 * block_tokens)):
+                    if order and not held:
+                        place = part.column(3)[0].as_py()
+                        block = f"{run_of}:{-1 if place is None else place:012d}"
+                    ids, offsets = tokenizer.encode(part.column(1))
+                    lengths = np.diff(offsets)
+                    own = np.insert(ids, offsets[1:], end_id).astype(np.uint32)
+                    held.append((part.column(0), own, lengths + 1))
+                    tokens += len(own)
+                    if tokens >= block_tokens:
+                        yield flush()
         if held:
             yield flush()
 
-    if order:
-        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    more = [F.col(order[0]).cast("string"), F.col(order[1]).cast("long")] if order else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, PIECES + (", block string" if order else ""))

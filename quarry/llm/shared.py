@@ -49,8 +49,10 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def in_file_order(docs: DataFrame, names: tuple[str, str] = ("_file", "_row")) -> DataFrame:
-    """``docs`` with two columns that give the order in which its part files were written;
-    nulls where it is not read from files."""
+    """``docs`` with two columns, file and row, that give the order in which Spark wrote its
+    part files; nulls where it is not read from files."""
     if not docs.inputFiles():
         return docs.withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(None).cast("long")})
-    return docs.select("*", F.col("_metadata.file_name").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+    name = F.col("_metadata.file_name")
+    part = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 10, "0")
+    return docs.select("*", F.concat(part, F.lit("-"), name).alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
