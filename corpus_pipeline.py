@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences. The mix left its part files in training
-    order; blocks of documents are taken in that order, and sequence ids follow it."""
+    order; blocks of documents are taken in that order, which the column ``block`` tells."""
     return pack(in_file_order(docs), order=("_file", "_row"))
 
 
