@@ -27,7 +27,7 @@ BLOCK_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 2048.0
 #: Distinct pieces of text whose ids a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 TOKENIZER_FILE = "word_bpe_49k.json"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -115,9 +115,9 @@ class WordTokenizer:
         self.most, self.mask = most, (1 << (2 * most - 1).bit_length()) - 1
         self.keys = np.zeros(self.mask + 1, np.uint64)
         self.slots = np.zeros(self.mask + 1, np.int32)
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ids = np.zeros(1 << 18, np.uint32)
         self.ends = np.zeros(most + 1, np.int64)
-        self.bytes = np.zeros(1 << 20, np.uint8)
+        self.bytes = np.zeros(1 << 18, np.uint8)
         self.byte_ends = np.zeros(most + 1, np.int64)
         self.count = 0
 
