@@ -71,6 +71,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives an empty result.
     """
     digest = F.xxhash64(F.col(text_col).cast("string"))
+    ids = docs.groupBy(F.col(id_col).alias("_id")).agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+    if ids.where(F.col("_id").isNotNull() & (F.col("lo") != F.col("hi"))).isEmpty():
+        digest = F.lit(0).cast("long")  # an id tells its text, and need not be joined with its hash
     base = docs.select(F.col(id_col).alias("_id"), digest.alias("_h"), _window_hashes(F.col(text_col)).alias("_w"))
     windows = base.where(F.col("_w").isNotNull()).select("_id", "_h", F.inline("_w"))
     repeated = written(
@@ -92,10 +95,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     covered = written(
         later.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("pos")).alias("_starts")), "line-covered"
     )
-    rows = docs.select(F.struct(*docs.columns).alias("r"))  # the input's names clash with none here
+    # the input's names clash with none here
+    rows = docs.select(F.struct(*docs.columns).alias("r"), digest.alias("_own"))
     text = F.col("r")[text_col].cast("string")
     cut = _with(_lines(text), lambda ls: F.struct(F.size(ls).alias("n"), _kept(ls, F.col("_starts")).alias("k")))
-    own = (F.col("r")[id_col] == F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
+    own = (F.col("r")[id_col] == F.col("_id")) & (F.col("_own") == F.col("_h"))
     joined = rows.join(covered, own, "left").withColumn(
         "_cut", F.when(F.col("_starts").isNotNull(), cut)
     )
