@@ -8,12 +8,13 @@ from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.ngram_join import keep_one_of_each
 from quarry.llm.packing import pack
-from quarry.llm.shared import in_file_order, new_path
+from quarry.llm.shared import in_file_order, new_path, small_batches
 from quarry.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
+    small_batches(spark)
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,6 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
@@ -41,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences. The mix left its part files in training
     order; blocks of documents are taken in that order, which the column ``block`` tells."""
+    small_batches(spark)
     return pack(in_file_order(docs), order=("_file", "_row"))
 
 

@@ -48,6 +48,18 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes of rows that one Arrow batch between the JVM and a Python worker holds, or one row.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's rows travel to Python workers in batches of ``BATCH_BYTES``,
+    not of 64 MB. Each task holds a batch on both sides, with copies; the workers stand beside
+    the JVM, which keeps what its largest batches took. No result depends on it but which
+    documents share a block of the packing."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def in_file_order(docs: DataFrame, names: tuple[str, str] = ("_file", "_row")) -> DataFrame:
     """``docs`` with two columns, file and row, that give the order in which Spark wrote its
     part files; nulls where it is not read from files."""

@@ -1,6 +1,13 @@
 import random
 
 import corpus_pipeline as P
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm.shared import BATCH_BYTES
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def test_stages(spark, tmp_path):
@@ -40,3 +47,27 @@ def test_stages(spark, tmp_path):
     assert set(whole) == set(ids[4])
     assert sum(r["length"] for r in kept[5].collect()) >= sum(whole.values())
     assert P.run(spark, str(tmp_path)).count() > 0 and P.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("name", ["toxicity", "n-gram Jaccard join", "packing"])
+def test_texts_travel_in_small_batches(spark, tmp_path, name):
+    """Stages with Python workers hand them few MB of text at a time, however long the texts:
+    the workers' and the JVM's copies of one batch have to fit beside the heap."""
+    size = 200_000
+    rows = spark.range(0, 80, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), size // 5).alias("text"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def measure(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    spark.conf.unset(ARROW_BYTES)
+    try:
+        dict(P.STAGES)[name](spark, docs, str(tmp_path))
+        seen = docs.coalesce(1).mapInArrow(measure, "rows long, bytes long").collect()
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+    assert sum(r["rows"] for r in seen) == 80
+    assert max(r["bytes"] for r in seen) <= BATCH_BYTES + size + 4096
