@@ -24,6 +24,8 @@ SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Tokens gathered before a block is packed.
 BLOCK_TOKENS = 1 << 20
+#: Bytes of text that are cut into pieces together: a piece takes some hundred bytes meanwhile.
+PIECE_STEP_BYTES = 1 << 17
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 2048.0
 #: Distinct pieces of text whose ids a worker remembers; beyond that it starts anew.
@@ -350,7 +352,7 @@ def pack(
                 run_of = near.column(2)[0].as_py() if order and near.num_rows else None
                 if held and order and not (block or "").startswith(f"{run_of}:"):
                     yield flush()
-                for part in K.steps(near, 1, min(K.STEP_BYTES, 4 * block_tokens)):
+                for part in K.steps(near, 1, min(PIECE_STEP_BYTES, 4 * block_tokens)):
                     if order and not held:
                         place = part.column(3)[0].as_py()
                         block = f"{run_of}:{-1 if place is None else place:012d}"
