@@ -166,7 +166,8 @@ def source_csv(spark, d):
     path = scratch_path(spark, "csv")
     one_line = F.regexp_replace("text", "[\\r\\n]", " ")
     table = documents(spark, d).select(one_line.alias("body"), F.col("doc_id").alias("key"))
-    table.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    exact = {"escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.write.options(header=True, **exact).csv(path)
     return R.read_corpus_csv(spark, path, "body", "key")
 
 

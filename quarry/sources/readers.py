@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 _STEM = r"([^/]*)\.[^./]*$"
 
+#: Stands for null where Spark would else take every empty field for it; in no text.
+NO_TEXT = "\ue000null\ue001"
+
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """A folder of Parquet files, read by position: the first column is the text, the
@@ -28,8 +31,9 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus_csv(spark: SparkSession, path: str, text_col: str, id_col: str) -> DataFrame:
-    """CSV with a header, quoted line breaks allowed -> (text, id)."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    """CSV with a header, quoted line breaks allowed -> (text, id). A field without quotes and
+    characters is null, ``""`` is an empty text."""
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=NO_TEXT)
     missing = {text_col, id_col} - set(raw.columns)
     if missing:
         raise ValueError(f"{path} has no column {sorted(missing)}")

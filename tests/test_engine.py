@@ -283,3 +283,16 @@ def test_benchmark_texts_are_queried_whole(spark, docs, tmp_path):
     assert {r["query_id"]: r["overlap"] for r in run("overlap_at_100")} == both
     place = {(t, i): ranked[i][0].index(i) + 1 if i in ranked[i][0] else -1 for i, t in items}
     assert {(r["query"], r["document"]): r["rank"] for r in run("known_item_rank")} == place
+
+
+def test_csv_keeps_odd_texts(spark, tmp_path):
+    from quarry.plans.registry import QUERIES as registered
+
+    texts = ["", None, " before", "after\t", "  ", '"', '""', 'a "b", c', "\\", "\x00nul", "null", "two\nlines", "\ufeff"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: r["text"] for r in registered["source_csv"](spark, str(tmp_path)).collect()}
+    assert got == {k: t and t.replace("\n", " ") for k, t in enumerate(texts)}
+    (tmp_path / "e.csv").write_text('n,body\n1,\n2,""\n')
+    read = R.read_corpus_csv(spark, str(tmp_path / "e.csv"), "body", "n").collect()
+    assert {r["id"]: r["text"] for r in read} == {1: None, 2: ""}
