@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scoring as S
 from quarry.functions import text as A
-from quarry.operators.index import Index
+from quarry.operators.index import Index, source_bytes
 
 #: A score is the sum of its contributions' multiples of COARSE and of what is left in
 #: multiples of FINE. Both sums are exact in a double (up to 2^22 contributions' worth), so a
@@ -23,20 +23,25 @@ def exact_sum(value: Column) -> Column:
     return F.sum(coarse) + F.sum(fine)
 
 
-def _ranked_sum(index: Index, wanted: DataFrame, by: list[str], scoring) -> DataFrame:
-    """wanted: ``by`` columns, key columns, ``times``, ``n_keys``."""
-    score = S.resolve(scoring)
+def _ranked_sum(index: Index, wanted: DataFrame, by: list[str], scorings: dict, few: bool) -> DataFrame:
+    """wanted: ``by`` columns, key columns, ``times``, ``n_keys``. A column of sums for each name
+    in ``scorings``. few: the wanted keys go to the postings, not the postings to the keys; a
+    document's postings lie in one partition then, and so its sums need no exchange either."""
     weighted = wanted.join(
         index.term_stats.select(
             *index.keys, S.idf(F.lit(index.n), F.col("df")).alias("_idf")
         ),
         index.keys,
     )
-    hits = index.sought().join(weighted, index.keys)
-    value = score(F.col("tf"), F.col("doc_len"), F.lit(float(index.avg_len)), F.col("_idf"))
-    if index.algorithm == "trigram":
-        value = value / F.col("n_keys")
-    return hits.groupBy(*by, "doc_id").agg(exact_sum(value * F.col("times")).alias("score"))
+    hits = index.sought().join(F.broadcast(weighted) if few else weighted, index.keys)
+
+    def total(score) -> Column:
+        value = score(F.col("tf"), F.col("doc_len"), F.lit(float(index.avg_len)), F.col("_idf"))
+        if index.algorithm == "trigram":
+            value = value / F.col("n_keys")
+        return exact_sum(value * F.col("times"))
+
+    return hits.groupBy(*by, "doc_id").agg(*(total(S.resolve(s)).alias(name) for name, s in scorings.items()))
 
 
 def search(index: Index, query: str, scoring="bm25", k: int = 10) -> DataFrame:
@@ -61,7 +66,7 @@ def search(index: Index, query: str, scoring="bm25", k: int = 10) -> DataFrame:
             index.algorithm, index.sought().where(only), index.term_stats.where(only), index.doc_stats,
             index.n, index.avg_len, index.stemmed,
         )
-    summed = _ranked_sum(narrowed, wanted, [], scoring)
+    summed = _ranked_sum(narrowed, wanted, [], {"score": scoring}, True)
     top = summed.orderBy(F.desc("score"), F.desc("doc_id")).limit(max(k, 0))
     rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("doc_id")))
     return top.select(rank.cast("int").alias("rank"), "doc_id", "score")
@@ -82,19 +87,37 @@ def query_keys(index: Index, queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "n_keys", *index.keys).agg(F.count("*").alias("times"))
 
 
-def search_batch(index: Index, queries: DataFrame, scoring="bm25", k: int = 10) -> DataFrame:
-    """(query_id, query, rank, doc_id, score) for ``queries(query_id, content)`` in one
-    job. ``query_id`` tells lines apart, also equal ones. Postings of keys that no query has
-    go before anything is counted or joined. The window keeps k rows per query before and
-    after the shuffle."""
+#: Bytes of queries up to which their keys go to all executors.
+FEW_BYTES = 8 << 20
+
+
+def rank_batch(index: Index, queries: DataFrame, scorings: dict, k: int = 10) -> DataFrame:
+    """(scoring, query_id, rank, doc_id, score) for ``queries(query_id, content)`` by several
+    named scorings, from one pass over the postings. Postings of keys that no query has go
+    before anything is counted or joined. The window keeps k rows per query before and after
+    the shuffle."""
+    size = source_bytes(queries)
+    few = size is not None and size <= FEW_BYTES
     wanted = query_keys(index, queries)
     asked = wanted.select(*index.keys).distinct()
-    only = lambda d: d.join(asked, index.keys, "left_semi")
+    only = lambda d: d.join(F.broadcast(asked) if few else asked, index.keys, "left_semi")
     narrowed = Index(
         index.algorithm, only(index.sought()), only(index.term_stats), index.doc_stats, index.n, index.avg_len, index.stemmed
     )
-    summed = _ranked_sum(narrowed, wanted, ["query_id"], scoring)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
-    top = summed.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    summed = _ranked_sum(narrowed, wanted, ["query_id"], {f"_{i}": s for i, s in enumerate(scorings.values())}, few)
+    each = F.array(*(F.struct(F.lit(name).alias("scoring"), F.col(f"_{i}").alias("score")) for i, name in enumerate(scorings)))
+    scored = summed.select("query_id", "doc_id", F.inline(each))
+    order = Window.partitionBy("scoring", "query_id").orderBy(F.desc("score"), F.desc("doc_id"))
+    return (
+        scored.withColumn("rank", F.row_number().over(order).cast("int"))
+        .where(F.col("rank") <= k)
+        .select("scoring", "query_id", "rank", "doc_id", "score")
+    )
+
+
+def search_batch(index: Index, queries: DataFrame, scoring="bm25", k: int = 10) -> DataFrame:
+    """(query_id, query, rank, doc_id, score) for ``queries(query_id, content)`` in one
+    job. ``query_id`` tells lines apart, also equal ones."""
+    top = rank_batch(index, queries, {"": scoring}, k)
     names = queries.select("query_id", F.col("content").alias("query"))
     return top.join(names, "query_id").select("query_id", "query", "rank", "doc_id", "score")

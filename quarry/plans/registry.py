@@ -10,7 +10,7 @@ from quarry.functions import text as A
 from quarry.functions.stemmer import porter2  # noqa: F401  (part of the surface)
 from quarry.operators import evaluation as E
 from quarry.operators.index import build_inverted, build_trigram, inverted_tokens, load_index, trigram_counts
-from quarry.operators.search import search, search_batch
+from quarry.operators.search import rank_batch, search, search_batch
 from quarry.plans.stem_sql import stems
 from quarry.sources import readers as R
 from quarry.sources import writers as W
@@ -100,14 +100,12 @@ def _batch(kind, scoring, k):
     return run
 
 
-def _two_rankings(spark, d, k):
-    index = build_inverted(documents(spark, d), stem=False)
-    q = benchmark_queries(spark, d)
-    return search_batch(index, q, "bm25", k), search_batch(index, q, "tf-idf", k)
-
-
 def overlap_at_100(spark, d):
-    return E.overlap_at_k(*_two_rankings(spark, d, 100), 100)
+    """Both rankings come from one pass over the postings; they are written, as each is read."""
+    index, path = build_inverted(documents(spark, d), stem=False), scratch_path(spark, "rankings")
+    rank_batch(index, benchmark_queries(spark, d), {s: s for s in ("bm25", "tf-idf")}, 100).write.parquet(path)
+    ranked = spark.read.parquet(path)
+    return E.overlap_at_k(*(ranked.where(F.col("scoring") == s) for s in ("bm25", "tf-idf")), 100)
 
 
 def score_diff(spark, d):
@@ -118,8 +116,8 @@ def score_diff(spark, d):
 
 def known_item_rank(spark, d):
     """Expected: the document whose id equals the benchmark item's id."""
-    ranked, _ = _two_rankings(spark, d, 10)
     q = benchmark_queries(spark, d)
+    ranked = search_batch(build_inverted(documents(spark, d), stem=False), q, "bm25", 10)
     expected = q.select(F.col("content").alias("query"), F.col("query_id").alias("document")).distinct()
     return E.known_item_rank(expected, ranked)
 
