@@ -192,8 +192,8 @@ def sink_rank_csv(spark, d):
 
 def source_score_csv(spark, d):
     path = scratch_path(spark, "scores")
-    sized = inverted_tokens(documents(spark, d), stem=False)
-    rows = sized.select("doc_id", F.col("doc_len").cast("double")).coalesce(1).sortWithinPartitions("doc_id")
+    sized = build_inverted(documents(spark, d), stem=False).doc_stats
+    rows = sized.select("doc_id", F.col("doc_len").cast("double")).orderBy("doc_id")
     rows.write.csv(path)
     return R.read_scores(spark, path)
 

@@ -104,16 +104,21 @@ def read_known_items(spark: SparkSession, path: str) -> DataFrame:
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Headerless ``doc_id,score`` lines -> (position, doc_id, score); ids stay strings, and
     positions count the lines from 1, over files in the order of their names. Files are read
-    whole (a result list is small)."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    lines = files.where(F.length("value") > 0).select("_file", F.posexplode(F.split(body, r"\r?\n", -1)))
-    counted = lines.groupBy("_file").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    parsed = F.from_csv("col", F.lit("doc_id string, score double"))
-    return lines.join(starts, "_file").select(
-        (F.col("_start") + F.col("pos") + 1).cast("long").alias("position"), parsed.alias("_p")
+    in blocks; only one count per block passes through a single task."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.regexp_replace("value", r"\r\z", "").alias("_line"),
+    )
+    counted = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    parsed = F.from_csv("_line", F.lit("doc_id string, score double"))
+    return lines.join(F.broadcast(starts), ["_file", "_block"]).select(
+        (F.col("_start") + F.col("_id") - F.col("_first") + 1).cast("long").alias("position"), parsed.alias("_p")
     ).select("position", "_p.doc_id", "_p.score")
 
 

@@ -296,3 +296,21 @@ def test_csv_keeps_odd_texts(spark, tmp_path):
     (tmp_path / "e.csv").write_text('n,body\n1,\n2,""\n')
     read = R.read_corpus_csv(spark, str(tmp_path / "e.csv"), "body", "n").collect()
     assert {r["id"]: r["text"] for r in read} == {1: None, 2: ""}
+
+
+def test_scores_are_read_in_blocks(spark, tmp_path):
+    folder, texts = tmp_path / "scores", ["".join(f"{k},{k}.5\n" for k in range(90)), "7,1\r\n\n7,2", ""]
+    folder.mkdir()
+    for name, text in zip(("b.csv", "a.csv", "c.csv"), texts, strict=True):
+        (folder / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        read = R.read_scores(spark, str(folder))
+        assert read.rdd.getNumPartitions() > 8
+        got = [tuple(r) for r in read.orderBy("position").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [("7", 1.0), (None, None), ("7", 2.0)] + [(str(k), k + 0.5) for k in range(90)]
+    assert got == [(k, *r) for k, r in enumerate(want, 1)]
