@@ -155,6 +155,11 @@ def gram_total(texts: pa.Array) -> pa.Array:
     return pa.array(np.bincount(text, np.maximum(size - 2, 1), len(texts)).astype(np.int64))
 
 
+def gram_key(value: Column) -> Column:
+    """The trigram and the clamped offset of a value of ``gram_counts``, as a number."""
+    return value.bitwiseAND(F.lit((1 << 25) - 1))
+
+
 def gram(value: Column) -> dict[str, Column]:
     """tri, off and tf of a value of ``gram_counts``."""
     char = lambda shift: F.char(F.shiftright(value, shift).bitwiseAND(F.lit(127)))
